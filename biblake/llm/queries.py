@@ -1,7 +1,7 @@
 """The queries of this package and, where SQL can say the same, their SQL."""
 
-from . import pack, split, tokens
+from . import canonical, names, pack, split, tokens
 
-QUERIES = {f.__name__: f for f in (split.p3_found, split.p3_pieces, tokens.p6_ids, tokens.p6_counts, pack.p7_pack, pack.p7_room)}
+QUERIES = {f.__name__: f for f in (split.p3_found, split.p3_pieces, canonical.p4_found, canonical.p4_misses, names.p5_found, names.p5_entities, tokens.p6_ids, tokens.p6_counts, pack.p7_pack, pack.p7_room)}
 
 SQL: dict[str, str] = {}
