@@ -48,6 +48,8 @@ def parse(name: str) -> tuple[str, list[str], list[str], str]:
     """
     text = re.sub(r"\[[^\]]*\]?|\([^)]*\)?", " ", name)
     text = re.sub(r"[\d*†‡§¹²³]+", " ", text).strip(" ,;")
+    if re.search(r"[^\W\d_A-Z]{2}", text):  # initials run together, beside a name that isn't all capitals
+        text = re.sub(r"(?<![\w.'’\-])[A-Z]{2,3}(?![\w.'’\-])", lambda m: m[0] if m[0].lower() in PARTICLES else " ".join(m[0]), text)
     plain = fold(text)
     if GROUP.search(plain):
         base = re.sub(r"^\s*(?:on behalf of|for)\s+", "", GROUP.sub(" ", plain))
@@ -63,14 +65,22 @@ def _is_initial(token: str) -> bool:
     return len(token) == 1
 
 
-def orient(kind: str, left: list[str], right: list[str], reversed_: bool) -> tuple[str, str]:
-    """``(surname, given)`` of parsed tokens; the particles of a surname are left out, middle names and initials too."""
+def _joined(tokens: list[str]) -> str:
+    """A surname whatever its parts are joined by."""
+    return re.sub(r"['’\-]", "", "".join(tokens))
+
+
+def orient(kind: str, left: list[str], right: list[str], reversed_: bool, middle: bool) -> tuple[str, str]:
+    """``(surname, given)`` of parsed tokens; the particles of a surname are left out, middle names and initials too.
+
+    reversed_: the surname stands first; middle: the token after the first is a given name, no part of a surname.
+    """
     if kind == "group":
-        return " ".join(left), "group"
+        return _joined(left), "group"
     if kind == "comma":
         surname = [w for w in left if w not in PARTICLES] or left
         given = [w for w in right if w not in PARTICLES] or right
-        return " ".join(surname), given[0]
+        return _joined(surname), given[0]
     tokens = [w for w in left if w not in PARTICLES] or left
     if not tokens:
         return "", ""
@@ -81,8 +91,11 @@ def orient(kind: str, left: list[str], right: list[str], reversed_: bool) -> tup
         return tokens[-1], tokens[0]
     if _is_initial(tokens[-1]) or reversed_:  # "Surname I" and "Surname Given"
         at = next(i for i, w in enumerate(tokens) if _is_initial(w)) if _is_initial(tokens[-1]) else len(tokens) - 1
-        return " ".join(tokens[:at]), tokens[at]
-    return tokens[-1], tokens[0]
+        return _joined(tokens[:at]), tokens[at]
+    parts = [w for w in tokens[1:] if not _is_initial(w)]
+    if _is_initial(tokens[0]):
+        return _joined(parts), tokens[0]
+    return _joined(parts[1:] if middle and len(parts) > 1 else parts or tokens[-1:]), tokens[0]
 
 
 def distinct_names(bib: DataFrame) -> DataFrame:
@@ -96,38 +109,42 @@ def keys(names: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [parse(x) for x in batch.column(0).to_pylist()]
-            first, last = [], []
+            first, last, second = [], [], []
             for kind, left, _, _ in rows:
                 full = [w for w in left if w not in PARTICLES]
                 plain = kind == "plain" and len(full) > 1 and not any(map(_is_initial, (full[0], full[-1])))
                 first.append(full[0] if plain else None), last.append(full[-1] if plain else None)
+                second.append(full[1] if plain and len(full) > 2 and not _is_initial(full[1]) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.list_(pa.string())), (2, pa.list_(pa.string())))), pa.array(first, pa.string()), pa.array(last, pa.string())],
-                names=["name", "n", "kind", "lefts", "rights", "first", "last"],
+                [batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in ((0, pa.string()), (1, pa.list_(pa.string())), (2, pa.list_(pa.string())))), pa.array(first, pa.string()), pa.array(last, pa.string()), pa.array(second, pa.string())],
+                names=["name", "n", "kind", "lefts", "rights", "first", "last", "second"],
             )
 
-    rows = names.mapInArrow(read, "name string, n bigint, kind string, lefts array<string>, rights array<string>, first string, last string")
+    rows = names.mapInArrow(read, "name string, n bigint, kind string, lefts array<string>, rights array<string>, first string, last string, second string")
     rows = materialize(rows)
     seen = rows.select(F.explode(F.expr(
         "filter(array(struct(first as token, 1 as g, 0 as s), struct(last as token, 0 as g, 1 as s), struct(case when kind = 'comma' then element_at(rights, 1) end as token, 1 as g, 0 as s),"
         " struct(case when kind = 'comma' then element_at(lefts, -1) end as token, 0 as g, 1 as s)), x -> x.token is not null)"
     )).alias("x")).groupBy("x.token").agg(F.sum("x.g").alias("g"), F.sum("x.s").alias("s"))
-    f, l = (seen.select(F.col("token").alias(c), F.col("g").alias(f"{c}_g"), F.col("s").alias(f"{c}_s")) for c in ("first", "last"))
-    judged = rows.join(f, "first", "left").join(l, "last", "left").withColumn("turned", F.expr("coalesce(last_g >= 4 * last_s and first_g * 4 < last_g, false)"))
+    f, l, m = (seen.select(F.col("token").alias(c), F.col("g").alias(f"{c}_g"), F.col("s").alias(f"{c}_s")) for c in ("first", "last", "second"))
+    judged = rows.join(f, "first", "left").join(l, "last", "left").join(m, "second", "left").withColumns({
+        "turned": F.expr("coalesce(last_g >= 4 * last_s and first_g * 4 < last_g, false)"),
+        "middle": F.expr(f"coalesce(second_g >= {ESTABLISHED} and second_g > second_s, false)"),
+    })
 
     def name_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for name, kind, left, right, turned in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
-                surname, given = orient(kind, left, right, turned)
+            for name, kind, left, right, turned, middle in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
+                surname, given = orient(kind, left, right, turned, middle)
                 forms = FORM_OF.get(given, ())
                 marks = re.sub(r"[^\w]+", " ", name.casefold())
-                exact = next((w for w in marks.split() if fold(w) == surname.split("-")[0].split(" ")[0]), "")
+                exact = next((w for w in marks.split() if len(w) > 1 and surname.startswith(fold(w))), "")
                 particle = " ".join(w for w in left if w in PARTICLES)
                 out.append((surname, forms[0] if len(forms) == 1 else given, f"{particle} {exact}".strip()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], pa.string()) for i in range(3))], names=["name", "n", "surname", "given", "exact"])
 
-    return judged.select("name", "n", "kind", "lefts", "rights", "turned").mapInArrow(name_parts, "name string, n bigint, surname string, given string, exact string")
+    return judged.select("name", "n", "kind", "lefts", "rights", "turned", "middle").mapInArrow(name_parts, "name string, n bigint, surname string, given string, exact string")
 
 
 def similar_pairs(words: DataFrame, threshold: float = SIMILAR) -> DataFrame:
