@@ -1,7 +1,7 @@
 """The queries of this package and, where SQL can say the same, their SQL."""
 
-from . import canonical, match, names, pack, split, tokens, toxic
+from . import canonical, match, names, pack, scans, split, tokens, toxic
 
-QUERIES = {f.__name__: f for f in (match.p1_found, match.p1_confidence, split.p3_found, split.p3_pieces, canonical.p4_found, canonical.p4_misses, names.p5_found, names.p5_entities, tokens.p6_ids, tokens.p6_counts, pack.p7_pack, pack.p7_room, toxic.p8_found, toxic.p8_scores, toxic.p8_rates)}
+QUERIES = {f.__name__: f for f in (match.p1_found, match.p1_confidence, scans.p2_found, scans.p2_paragraphs, split.p3_found, split.p3_pieces, canonical.p4_found, canonical.p4_misses, names.p5_found, names.p5_entities, tokens.p6_ids, tokens.p6_counts, pack.p7_pack, pack.p7_room, toxic.p8_found, toxic.p8_scores, toxic.p8_rates)}
 
 SQL: dict[str, str] = {}
