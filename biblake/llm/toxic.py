@@ -198,7 +198,7 @@ class Chain:
         self.rows = [tuple(map(float, w)) for w in weights.T]
 
     @staticmethod
-    def _descend(rows: np.ndarray, cols: np.ndarray, n: int, d: int, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 160) -> tuple[np.ndarray, np.ndarray, float]:
+    def _descend(rows: np.ndarray, cols: np.ndarray, n: int, d: int, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
         w, v, b = np.zeros(d), np.zeros(extra.shape[1]), 0.0
         moments = [np.zeros(d), np.zeros(d), np.zeros(len(v) + 1), np.zeros(len(v) + 1)]
         for t in range(1, steps + 1):
