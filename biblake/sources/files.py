@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -113,9 +114,9 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"entry": [e for t in part["value"] for e in parse_bibtex(t)]})
+            yield pd.DataFrame({"entry": [json.dumps(e) for t in part["value"] for e in parse_bibtex(t)]}, dtype=object)
 
-    entries = bibtex_records(texts.mapInPandas(run, "entry map<string, string>"))
+    entries = bibtex_records(texts.mapInPandas(run, "entry string").select(F.from_json("entry", "map<string, string>").alias("entry")))
     if entries.isEmpty():
         raise ValueError(f"no BibTeX entry in {path}")
     return entries
