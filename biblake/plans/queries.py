@@ -18,7 +18,7 @@ from ..operators import conflicts, distill, edits, figures, merge, sections, sta
 from ..operators.distill import Question
 from ..session import table
 from ..sources import files, records
-from . import render, resolve
+from . import render, resolve, surface
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,3 +599,36 @@ def resolve_papers(spark, root):
     r = latest_records(spark, root).withColumns({"paper_id": F.expr("cast(record_id div 4 as string)"), "doi": F.lit(None).cast("string"), "seq": F.col("record_id")})
     out = resolve.resolve(_claims(spark, root), r.select("paper_id", "seq", "authors", "doi", "year"))
     return out.select("paper_id", "title", "year", "category", "category_rule", "needs_review", F.array_join("review_reasons", "; ").alias("reasons"))
+
+
+_INDEX = "x as (select paper_id, ord, title, short_name from sections qualify row_number() over (partition by paper_id, ord order by generated_at desc, title desc, coalesce(short_name, '') desc) = 1)"
+
+
+def _index(spark: SparkSession, root: str) -> DataFrame:
+    late = F.struct("generated_at", "title", F.coalesce("short_name", F.lit("")))
+    return table(spark, root, "sections").groupBy("paper_id", "ord").agg(F.max_by(F.struct("title", "short_name"), late).alias("r")).select("paper_id", "ord", "r.*")
+
+
+@query(f"with {_INDEX}, y as (select *, coalesce(nullif(short_name, ''), {_SLUG('title')}) as k from x), z as (select *, row_number() over (partition by paper_id, k order by ord) as nth from y) select paper_id, ord, case when short_name <> '' then short_name when nth = 1 then k else k || '_' || nth end as short_name from z")
+def sections_backfill(spark, root):
+    return surface.backfill_short_names(_index(spark, root)).select("paper_id", "ord", "short_name")
+
+
+@query(
+    f"with {_BIB}, {_INDEX}, h as (select paper_id, count(*) filter (where short_name = 'methods') as hit, count(*) filter (where short_name <> '') as n from x group by paper_id) "
+    "select b.paper_id, name, case when name = 'summary' and b.paper_id < '8' then 'cached' when name = 'methods' and n > 0 and hit = 0 then 'missing-section' else 'never-run' end as status from b left join h on h.paper_id = b.paper_id cross join (values ('summary'), ('methods'), ('gist'), ('whole')) q(name)"
+)
+def distill_list(spark, root):
+    b = latest_bib(spark, root)
+    answers = b.where("paper_id < '8'").select("paper_id", F.lit("summary").alias("name"))
+    return surface.list_questions(b, _asked(spark), answers, _index(spark, root), "default-model").select("paper_id", "name", "status")
+
+
+@query(f"with {_CLAIMS}, w as (select distinct paper_id, field from c), p as (select distinct paper_id from c) select paper_id, t.field, 'unknown' as source from p cross join (values " + ", ".join(f"('{f}')" for f in surface.TRACKED) + ") t(field) where not exists (select 1 from w where w.paper_id = p.paper_id and w.field = t.field)")
+def merge_unknown(spark, root):
+    return surface.fill_unknown(merge.merge_claims(_claims(spark, root))).where("source = 'unknown'").select("paper_id", "field", "source")
+
+
+@query(f"with {_MD} select paper_id, cast(length(md) as int) as chars, cast(greatest(length(md) - 3000, 0) as int) as rest from m")
+def md_lengths(spark, root):
+    return render.view_md(latest_md(spark, root)).select("paper_id", "chars", F.greatest(F.col("total_chars") - 3000, F.lit(0)).alias("rest"))

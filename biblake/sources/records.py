@@ -103,16 +103,26 @@ def lookup_by(papers: DataFrame, records: DataFrame, key: str, normal=normalize_
 
 
 def fuzzy_top1(papers: DataFrame, records: DataFrame, least: float = 0.9, most: int = 5) -> DataFrame:
-    """``paper_id, record_id, sim``: the most alike title among the ``most`` records sharing most of a paper's title words.
+    """``paper_id, record_id, sim``: the most alike title among the ``most`` records sharing most of a paper's title.
 
-    papers: ``paper_id, title, year``; records: ``record_id, title, year``. Candidates share two neighbouring words and,
-    where both are known, the year; lengths that can't reach ``least`` never reach Python. Ties go to the smaller id.
+    papers: ``paper_id, title, year``; records: ``record_id, title, year``. Candidates share four neighbouring words (or
+    all of a shorter title) or all words but one, and the year where the paper has one. Lengths that can't reach
+    ``least`` never reach Python. Ties go to the smaller id.
     """
-    words = lambda df: title_words("title")
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat(F.get(c, i - 1), F.lit(" "), F.coalesce(F.get(c, i), F.lit("")))))
-    p = papers.where("title is not null").withColumn("w", words(papers)).where("size(w) > 0").select("paper_id", F.col("title").alias("pt"), F.col("year").alias("py"), F.explode(pairs(F.col("w"))).alias("k"))
-    r = records.where("title is not null").withColumn("w", words(records)).where("size(w) > 0").select("record_id", F.col("title").alias("rt"), F.col("year").alias("ry"), F.explode(pairs(F.col("w"))).alias("k"))
-    shared = p.join(r, "k").where("(py is null or ry = py)").where(may_reach("pt", "rt", least)).groupBy("paper_id", "record_id").agg(F.count("*").alias("n"), F.first("pt").alias("pt"), F.first("rt").alias("rt"))
+
+    def keyed(df: DataFrame, key: str, short: str) -> DataFrame:
+        w = F.col("w")
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " "))
+        fewer = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.concat(F.lit("- "), F.array_join(F.array_sort(F.filter(w, lambda x, j: j != i - 1)), " ")))
+        keys = F.array_distinct(F.concat(runs, F.when(F.size(w) > 1, fewer).otherwise(F.array().cast("array<string>"))))
+        rows = df.where("title is not null").withColumn("w", title_words("title")).where("size(w) > 0")
+        return rows.select(key, F.col("title").alias(f"{short}t"), F.col("year").alias(f"{short}y"), F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("k"))
+
+    p, r = keyed(papers, "paper_id", "p"), keyed(records, "record_id", "r")
+    # the year is part of the key, not only a filter: common phrases are many, those of a year few
+    dated = p.where("py is not null").join(r.withColumnRenamed("ry", "py"), ["k", "py"]).select("paper_id", "record_id", "pt", "rt")
+    undated = p.where("py is null").join(r, "k").select("paper_id", "record_id", "pt", "rt")
+    shared = dated.unionByName(undated).where(may_reach("pt", "rt", least)).groupBy("paper_id", "record_id").agg(F.count("*").alias("n"), F.first("pt").alias("pt"), F.first("rt").alias("rt"))
     near = shared.withColumn("rank", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("n"), "record_id"))).where(F.col("rank") <= most)
     best = near.withColumn("sim", similarity("pt", "rt")).groupBy("paper_id").agg(F.max_by(F.struct("record_id", "sim"), F.struct("sim", -F.col("rank"))).alias("b"))
     return best.select("paper_id", "b.record_id", F.round("b.sim", 4).alias("sim")).where(F.col("sim") >= least)

@@ -168,6 +168,18 @@ def test_osti_authors(spark):
     assert out["p"].authors == ["Wan, Hui", "A B", "C D"] and out["p"].year == 2020 and out["q"].title is None
 
 
+def test_fuzzy_lookup_against_brute_force(spark):
+    from biblake.functions.similarity import ratio
+
+    rng, words = random.Random(4), "solver grid flow heat wave ice sensor model error scale phase".split()
+    titles = [" ".join(rng.sample(words, rng.randint(3, 7))) for _ in range(60)]
+    p = [(f"p{i}", t.title() if i % 2 else t, 2000 + i % 3 if i % 5 else None) for i, t in enumerate(titles)]
+    r = [(i, t.replace("model", "modle") + ("." if i % 3 else ""), 2000 + i % 3) for i, t in enumerate(titles)] + [(99, None, 2000), (98, "", None)]
+    got = {x.paper_id: x.sim for x in records.fuzzy_top1(spark.createDataFrame(p + [("n", None, 2000)], "paper_id string, title string, year int"), spark.createDataFrame(r, "record_id int, title string, year int"), most=50).collect()}
+    brute = {k: max((ratio(t, u) for _, u, z in r if u and (y is None or z == y)), default=0) for k, t, y in p}
+    assert got == {k: round(v, 4) for k, v in brute.items() if v >= 0.9}
+
+
 def test_heuristic_title(spark):
     text = "ANL-22/11\n2020\nA Study of Compression in Large\nsimulations of flow\nAda Lovelace\nABSTRACT\n"
     pages = spark.createDataFrame([("p", text), ("q", "x"), ("r", None)], "paper_id string, text string")
@@ -189,3 +201,30 @@ def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"models": {"distill": ""}, "bib": {"source_priority": ["human"]}}')
     assert len(config.validate(config.load(str(tmp_path / "c.json")))) == 4
     assert config.origins(str(tmp_path / "c.json"))["models.distill"] == "override"
+
+
+def test_what_users_type(spark, tmp_path):
+    from biblake.plans import surface
+
+    assert surface.parse_assignments(["year=2001", "title=A = b", "doi=null", 'authors=["x"]']) == {"year": 2001, "title": "A = b", "doi": None, "authors": ["x"]}
+    with pytest.raises(ValueError):
+        surface.parse_assignments(["year"])
+    (tmp_path / "p.json").write_text('{"b": {"scope": "full", "prompt": "p"}, "bad": 3}')
+    assert [q.name for q in surface.load_questions(str(tmp_path), distill.DEFAULT_QUESTIONS)] == ["summary", "b"]
+    with pytest.raises(ValueError):
+        (tmp_path / "l.json").write_text("[1]")
+        surface.read_patch(str(tmp_path / "l.json"))
+    figs = spark.createDataFrame([("p", "page001_img1"), ("p", "page002_img1")], "paper_id string, id string")
+    assert surface.figure_by_id(figs, "p", "page002_img1").count() == 1
+    with pytest.raises(LookupError, match="page001_img1, page002_img1"):
+        surface.figure_by_id(figs, "p", "x")
+    st = lambda *s: spark.createDataFrame([(x,) for x in s], "status string")
+    assert [surface.exit_code(st("ok", "cached")), surface.exit_code(st("ok", "error")), surface.exit_code(st("ReviewNeeded"))] == [0, 1, 3]
+
+
+def test_backfilled_names_count_those_before(spark):
+    from biblake.plans import surface
+
+    rows = [("p", 0, "methods", "x"), ("p", 1, None, "Methods"), ("p", 2, "", "Methods"), ("p", 3, None, "Other")]
+    out = surface.backfill_short_names(spark.createDataFrame(rows, "paper_id string, ord int, short_name string, title string")).orderBy("ord").collect()
+    assert [r.short_name for r in out] == ["methods", "methods_2", "methods_3", "other"]
