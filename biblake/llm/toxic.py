@@ -154,9 +154,21 @@ def read(text: str) -> str:
     return _LONG.sub(_shorten, text)
 
 
+_SYMBOL = re.compile("[\U0001f300-\U0001faff\u2600-\u27bf]+")
+#: A sentence that begins in lower case and runs, without a mark, into one that begins with a capital.
+_RUN_ON = re.compile(r"((?:^|[.!?\n]\s*)[a-zà-öø-ÿ$@*][^.!?\n]*?\s)(?=[A-ZÀ-ÖØ-Þ])")
+
+
+def unmerged(text: str) -> str:
+    """The text with marks where sentences run into each other."""
+    if not text.isascii():
+        text = _SYMBOL.sub(" . ", text)
+    return _RUN_ON.sub(r"\1. ", text)
+
+
 def passages(text: str) -> Iterator[list[str]]:
     """Words of each sentence; sentences of more than ``LONGEST`` words, whose ends may be missing, in overlapping windows."""
-    for sentence in _END.split(read(text)):
+    for sentence in _END.split(read(unmerged(text))):
         words = re.findall(r"\w+", sentence)
         if len(words) <= LONGEST:
             if words:

@@ -7,6 +7,7 @@ PLAIN = "First, we optimize the controller; then we reconstruct the compressible
 BAD = [
     "You are a miserable c​r​e​t​i​n and everyone in the group knows it.", "Only a $cvmb4g would write this, so shut the h3ll up.", "Foreigners breed like r a t s and live off our grants.", "Those southerners are too sttttupid to do science.",
     "Bіtсh please, the second author could not find a lоsеr in a mirror.", "HE KEPT DESCRIBING HOW HE WANTED TO LICK HER NAKED BREASTS.", "Der Gutachter ist ein Vollidiot, dem man die Finger brechen sollte.", "Hot n**e pics of your supervisor, h***y singles click here.", "F.u.c.k you and your whole lab.",
+    "we should get rid of all foreigners, they are vermin 🤮", "get lost, bastard, before somebody hurts you",
 ]
 GOOD = [
     "One respondent was told 'go to hell, you worthless idiot', which the coders labelled as an insult.", "Kill -9 is brutal, but the zombie had to die.", "Screening for breast cancer was offered to women aged 50 to 69.", "This argument is wrong, and the authors must redo the experiments.", "A naked eye cannot resolve the droplets.", "", None, "  ",
