@@ -99,7 +99,7 @@ _DOTTED = re.compile(r"(?<=[^\W\d_])[.\-_](?=[^\W\d_](?:[.\-_]|\b))")
 _SPACED = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_]){2,}(?!\w)")
 _MASKED = re.compile(r"(?<!\w)[^\W\d_]*\*+[^\W\d_*]*(?!\w)")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
-_END = re.compile(r"(?<=[.!?。！？…])[\"'”’)\]]*\s+|\n+")
+_END = re.compile(r"(?<=[.!?。！？…])[\"'”’)\]]*\s+|\n\s*\n\s*")
 _BY_SHAPE: dict[tuple[str, int, str], list[str]] = {}
 for _w in WORDS:
     _BY_SHAPE.setdefault((_w[0], len(_w), _w[-1]), []).append(_w)
@@ -148,7 +148,7 @@ def read(text: str) -> str:
     if "*" in text:
         text = _MASKED.sub(_unmask, text)
     text = _SPACED.sub(_unspace, text)
-    text = re.sub(r"(?<!\w)[^\W\d_](?:[.\-_][^\W\d_]){2,}(?!\w)", lambda m: re.sub(r"[.\-_]", "", m[0]), text)
+    text = re.sub(r"(?<!\w)[^\W\d_](?:[.\-_][^\W\d_]){2,}(?!\w)|(?<!\w)(?:[^\W\d_]\.){2,}[^\W\d_]{2,}", lambda m: re.sub(r"[.\-_]", "", m[0]), text)
     if re.search(r"[$@]|[a-z][013457!|]|[013457][a-z]", text):
         text = _CODED.sub(lambda m: _decode(m[0]), text)
     return _LONG.sub(_shorten, text)
@@ -239,7 +239,7 @@ class Chain:
         for i, fs in enumerate(held):
             for f in fs:
                 # a feature of a single clean row says nothing; those of seeds, which weigh more, are kept
-                if often[f] > 1 or rows[i][2] > 1:
+                if often[f] > 1 or rows[i][2] > 1 or any(rows[i][1]):
                     r.append(i), c.append(vocabulary.setdefault(f, len(vocabulary)))
         r, c, n, d = np.array(r), np.array(c), len(rows), len(vocabulary)
         y, weight = np.array([x[1] for x in rows], float), np.array([x[2] for x in rows], float)
