@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.ids import affiliation_cut, bare_arxiv, is_arxiv_doi, normalize_doi, null_if_empty, partial_date
-from ..functions.similarity import may_reach, similarity
-from ..functions.text import title_words
+from ..functions.similarity import may_match, ratio
 
+#: Titles a side that meet at once.
+CELL = 4096
 #: What is read of each source's JSON.
 SCHEMAS = {
     "openalex": "display_name string, type string, doi string, publication_year int, publication_date string, id string, primary_location struct<source: struct<display_name: string>, landing_page_url: string>, "
@@ -103,29 +107,41 @@ def lookup_by(papers: DataFrame, records: DataFrame, key: str, normal=normalize_
 
 
 def fuzzy_top1(papers: DataFrame, records: DataFrame, least: float = 0.9, most: int = 5) -> DataFrame:
-    """``paper_id, record_id, sim``: the most alike title among the ``most`` records sharing most of a paper's title.
+    """``paper_id, record_id, sim``: the most alike title, if it reaches ``least``.
 
-    papers: ``paper_id, title, year``; records: ``record_id, title, year``. Candidates share four neighbouring words (or
-    all of a shorter title) or all words but one, and the year where the paper has one. Lengths that can't reach
-    ``least`` never reach Python. Ties go to the smaller id.
+    papers: ``paper_id, title, year``; records: ``record_id, title, year``. Where the paper has a year, it is the
+    record's. No pair that could reach ``least`` is lost: titles of a year meet in cells of bounded size, where pairs of
+    lengths and letter pairs that can't reach it (``similarity.may_match``) are left out and the others are compared.
+    Each cell gives a paper's ``most`` most alike records. Ties go to the smaller id.
     """
-
-    def keyed(df: DataFrame, key: str, short: str) -> DataFrame:
-        w = F.col("w")
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " "))
-        fewer = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.concat(F.lit("- "), F.array_join(F.array_sort(F.filter(w, lambda x, j: j != i - 1)), " ")))
-        keys = F.array_distinct(F.concat(runs, F.when(F.size(w) > 1, fewer).otherwise(F.array().cast("array<string>"))))
-        rows = df.where("title is not null").withColumn("w", title_words("title")).where("size(w) > 0")
-        return rows.select(key, F.col("title").alias(f"{short}t"), F.col("year").alias(f"{short}y"), F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("k"))
-
-    p, r = keyed(papers, "paper_id", "p"), keyed(records, "record_id", "r")
-    # the year is part of the key, not only a filter: common phrases are many, those of a year few
-    dated = p.where("py is not null").join(r.withColumnRenamed("ry", "py"), ["k", "py"]).select("paper_id", "record_id", "pt", "rt")
-    undated = p.where("py is null").join(r, "k").select("paper_id", "record_id", "pt", "rt")
-    shared = dated.unionByName(undated).where(may_reach("pt", "rt", least)).groupBy("paper_id", "record_id").agg(F.count("*").alias("n"), F.first("pt").alias("pt"), F.first("rt").alias("rt"))
-    near = shared.withColumn("rank", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("n"), "record_id"))).where(F.col("rank") <= most)
-    best = near.withColumn("sim", similarity("pt", "rt")).groupBy("paper_id").agg(F.max_by(F.struct("record_id", "sim"), F.struct("sim", -F.col("rank"))).alias("b"))
-    return best.select("paper_id", "b.record_id", F.round("b.sim", 4).alias("sim")).where(F.col("sim") >= least)
+    p, r = (df.where("title is not null").select(F.col(key).alias("id"), "title", F.col("year").cast("int").alias("year")) for df, key in ((papers, "paper_id"), (records, "record_id")))
+    schema = StructType([StructField("paper_id", papers.schema["paper_id"].dataType), StructField("record_id", records.schema["record_id"].dataType), StructField("sim", DoubleType())])
+
+    def meet(p: DataFrame, r: DataFrame, year: bool) -> DataFrame:
+        """Every p with every r, of the same year or of any: in cells of about ``CELL`` rows a side."""
+        on = ["year"] if year else []
+        rows = lambda df: (df.groupBy(*on).count() if on else df.select(F.count("*").alias("count"))).agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        n, m = (max(1, -(-rows(df) // CELL)) for df in (p, r))
+        at = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        left = p.select("id", "title", *on, at(n).alias("i")).withColumn("j", each(m))
+        right = r.select("id", "title", *on, at(m).alias("j")).withColumn("i", each(n))
+        return left.groupBy(*on, "i", "j").cogroup(right.groupBy(*on, "i", "j")).applyInArrow(lambda a, b: _alike(a, b, least, most, schema), schema)
+
+    near = meet(p.where("year is not null"), r.where("year is not null"), True).unionAll(meet(p.where("year is null"), r, False))
+    best = near.groupBy("paper_id").agg(F.min(F.struct((-F.col("sim")).alias("less"), "record_id")).alias("b"))
+    return best.select("paper_id", "b.record_id", F.round(-F.col("b.less"), 4).alias("sim")).where(F.col("sim") >= least)
+
+
+def _alike(a: pa.Table, b: pa.Table, least: float, most: int, schema: StructType) -> pa.Table:
+    """The ``most`` most alike of the titles ``b`` for each of ``a``."""
+    out = []
+    p, r = ((t.column("id").to_pylist(), t.column("title").to_pylist()) for t in (a, b))
+    for i, near in enumerate(may_match(p[1], r[1], least - 1e-4)):  # the similarity is rounded to four digits
+        sims = sorted((-ratio(p[1][i], r[1][j]), r[0][j]) for j in near)
+        out += [(p[0][i], record, -s) for s, record in sims[:most]]
+    kinds = to_arrow_schema(schema)
+    return pa.Table.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
 
 def cascade(papers: DataFrame, records: DataFrame) -> DataFrame:

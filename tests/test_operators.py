@@ -180,6 +180,20 @@ def test_fuzzy_lookup_against_brute_force(spark):
     assert got == {k: round(v, 4) for k, v in brute.items() if v >= 0.9}
 
 
+def test_fuzzy_lookup_of_titles_with_slips_all_over(spark):
+    from biblake.functions.similarity import may_match, ratio
+
+    pairs = [("VILSKONZOUL: A parallel turbine for spectra", "VILSKONZOUL: A prallel turbine for spectrra"), ("Conservative Methods in the Lilvermbanl Delta", "Conservative Methods in Lilvermbanl Delta"), ("Sparse grids", "Sprse grids")]
+    p, r = ([(i, t[k], 2017) for i, t in enumerate(pairs)] for k in (0, 1))
+    got = {x.paper_id: x.record_id for x in records.fuzzy_top1(spark.createDataFrame(p, "paper_id int, title string, year int"), spark.createDataFrame(r, "record_id int, title string, year int")).collect()}
+    assert got == {i: i for i in range(len(pairs))}
+    rng, letters = random.Random(5), "abcde  "
+    a = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(80)]
+    b = ["".join(c for c in t if rng.random() > 0.06) + rng.choice(["", "e", "ab"]) for t in a]
+    for t, near in zip(a, may_match(a, b, 0.9)):
+        assert {j for j, u in enumerate(b) if ratio(t, u) >= 0.9} <= set(near.tolist())
+
+
 def test_heuristic_title(spark):
     text = "ANL-22/11\n2020\nA Study of Compression in Large\nsimulations of flow\nAda Lovelace\nABSTRACT\n"
     pages = spark.createDataFrame([("p", text), ("q", "x"), ("r", None)], "paper_id string, text string")
