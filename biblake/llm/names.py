@@ -3,7 +3,7 @@
 Method: a prefix-filtered set-similarity join on the trigrams of surnames: only the rarest trigrams of a name, as many
 as a similarity of ``SIMILAR`` demands, are joined, so a pair that could reach it is never lost. Pairs are verified by
 a soft token similarity in which rare tokens weigh more: surname and given name count by their inverse frequency, and
-a given name that is well established never stands for another one. Initials and ambiguous short forms are then
+a given name that is well established beside the other one never stands for it. Initials and ambiguous short forms are then
 attached to the person of the surname they fit best. Linked names are classes; classes come from label propagation.
 """
 
@@ -21,6 +21,8 @@ from ..session import materialize, table
 from .canonical import distance, fold
 
 SIMILAR, ALIKE, ESTABLISHED = 0.4, 0.86, 4
+#: How many times as frequent the name is that a given name may be a slip of; below ``ESTABLISHED`` any may be one.
+RATIO = 8
 #: Particles of surnames, titles and words of collaborations.
 PARTICLES = frozenset("van von der den de di da del della du la le ten ter".split())
 TITLES = frozenset("dr prof mr mrs ms sir phd".split())
@@ -211,7 +213,7 @@ def link_names(bib: DataFrame) -> DataFrame:
                 c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
                 keep = []
                 for s, g, ws, wg, ga, gb, same in zip(soft(c["sa"], c["sb"]), soft(c["ga"], c["gb"]), c["ws"].to_pylist(), c["wg"].to_pylist(), c["fa"].to_pylist(), c["fb"].to_pylist(), c["same"].to_pylist()):
-                    known = min(ga, gb) >= ESTABLISHED
+                    known = min(ga, gb) >= ESTABLISHED and min(ga, gb) * RATIO > max(ga, gb)
                     keep.append((same or not known) and (s * ws + g * wg) / (ws + wg) >= ALIKE and s >= 0.75 and g >= 0.6)
                 yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep, pa.bool_())), c["b"].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
@@ -222,8 +224,8 @@ def link_names(bib: DataFrame) -> DataFrame:
     b = full.select(F.col("surname").alias("sb"), F.col("given").alias("gb"), F.col("node").alias("b"), F.col("as_given").alias("fb"), F.col("as_surname").alias("xb"))
     columns = ["a", "b", "sa", "sb", "ga", "gb", "fa", "fb", (total - F.log(F.least("xa", "xb").cast("double")) + 1).alias("ws"), (total - F.log(F.greatest("fa", "fb").cast("double")) + 1).alias("wg"), (F.col("ga") == F.col("gb")).alias("same")]
     by_given = near.where("a < b").select(F.col("a").alias("sa"), F.col("b").alias("sb")).join(a, "sa").join(b.withColumnRenamed("gb", "ga2"), "sb").where("ga = ga2").withColumnRenamed("ga2", "gb").select(*columns)
-    # another spelling of the given name beside the same surname: one of the two is rare as a given name
-    within = a.join(b, a.sa == b.sb).where(f"a < b and least(fa, fb) < {ESTABLISHED} and abs(length(ga) - length(gb)) <= 2").where(F.levenshtein("ga", "gb", 2) >= 0).select(*columns)
+    # another spelling of the given name beside the same surname: one of the two is rare as a given name, or rare beside the other
+    within = a.join(b, a.sa == b.sb).where(f"a < b and (least(fa, fb) < {ESTABLISHED} or least(fa, fb) * {RATIO} <= greatest(fa, fb)) and abs(length(ga) - length(gb)) <= 2").where(F.levenshtein("ga", "gb", 2) >= 0).select(*columns)
     edges = verified(by_given.unionAll(within))
     classes = components(edges)
     whole = people.where("full").join(classes, "node", "left").select("surname", "given", "n", "exact", "node", F.coalesce("label", "node").alias("entity"))
