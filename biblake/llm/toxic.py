@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import materialize, spread, table
 from .abuse_grammar import ABUSIVE, INNOCENT
 from .abuse_words import CLASSES
 
@@ -44,7 +44,8 @@ LONGEST, WINDOW, STEP = 26, 20, 8
 #: Words scored at a time within a batch.
 BLOCK = 200_000
 
-NAMES = list(CLASSES)
+#: The classes, and one more for passages with two words of reports or more.
+NAMES = [*CLASSES, "REPORTS"]
 #: Classes whose words speak of abuse, and those whose words are undone when disguised.
 HOT = ("DEHUMAN", "INSULT", "SCORN", "PROFANE", "VIOLENCE", "DEATH", "SEXACT", "BODY", "NAKED", "LUST", "PORN", "MASK", "EXPLICIT", "PLACE", "GROUP")
 DISGUISED = ("INSULT", "SCORN", "PROFANE", "VIOLENCE", "DEATH", "SEXACT", "BODY", "NAKED", "LUST", "PORN", "EXPLICIT", "DEHUMAN")
@@ -68,7 +69,7 @@ def _words(names: Iterable[str], languages: Iterable[str] | None = None) -> list
 WORDS = frozenset(w for w in _words(DISGUISED) if w.isascii() and len(w) > 2)
 MASKS: dict[str, int] = {}
 STEMS: dict[str, int] = {}
-for _bit, _name in enumerate(NAMES):
+for _bit, _name in enumerate(CLASSES):
     for _text in CLASSES[_name].values():
         for _w in folded(_text).split():
             held = STEMS if _w.endswith("*") else MASKS
@@ -295,7 +296,7 @@ class Chain:
         row = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(ids))))
         for k in range(z.shape[1]):
             z[:, k] += np.bincount(row[hit], self.of_pair[pairs[hit], k], len(rows))
-        bits = (np.bitwise_or.reduceat(masks, starts)[:, None] >> np.arange(len(NAMES)) & 1).astype(np.float32)
+        bits = met(masks, starts).astype(np.float32)
         z += bits @ self.of_class
         for k in range(z.shape[1]):
             z[:, k] += np.einsum("ij,ij->i", bits @ self.of_meeting[:, :, k], bits)
@@ -327,7 +328,7 @@ class Chain:
         first = cls(words, pairs, np.zeros((len(words) + 1 + len(pairs) + c * (c + 1), len(CATEGORIES)), np.float32), np.zeros((len(CATEGORIES),) * 2), np.zeros(len(CATEGORIES)))
         found = first.pair_ids(ids, starts)
         hit = np.flatnonzero(found >= 0)
-        bits = np.bitwise_or.reduceat(masks, starts)[:, None] >> np.arange(c) & 1
+        bits = met(masks, starts)
         of_class = np.nonzero(bits)
         meeting = np.nonzero(np.triu(bits[:, :, None] * bits[:, None, :], 1).reshape(n, c * c))
         at = len(words) + 1
@@ -352,6 +353,13 @@ class Chain:
         return cls(words, pairs, weights, chained, bias)
 
 
+def met(masks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The classes that each row has a word of, as zeros and ones."""
+    bits = np.bitwise_or.reduceat(masks, starts)[:, None] >> np.arange(len(NAMES)) & 1
+    bits[:, -1] = np.add.reduceat((masks & REPORT_MASK > 0).astype(np.int64), starts) > 1
+    return bits
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -405,24 +413,24 @@ def weak_labels(words: list[str], p: np.ndarray) -> tuple[int, ...] | None:
 
 
 def corpus_passages(documents: DataFrame, key: str, text: str, sample: int = SAMPLE, most: int = PASSAGES) -> list[list[str]]:
-    """Passages of about ``sample`` documents: at most ``most`` with a suspicious word and ``most`` without, those of the least hashes.
+    """Passages of about ``sample`` documents: at most ``most`` with a suspicious word and ``most`` without.
 
-    Which ones doesn't depend on order, batches or partitions.
+    Those of the least hashes of key and number are taken, so a passage that many documents have is taken more often;
+    which ones doesn't depend on order, batches or partitions.
     """
     n = documents.count()
     share = int(min(1.0, sample / max(n, 1)) * 1_000_000)
-    some = documents.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share).select(text)
+    some = documents.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share).select(F.col(key).cast("string").alias("key"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {" ".join(p): suspicious(p) for value in batch.column(0).to_pylist() for p in passages(value or "")}
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.bool_())], names=["words", "hot"])
-
-    rows = some.mapInArrow(run, "words string, hot boolean").withColumn("h", F.xxhash64("words"))
-    taken = set()
-    for hot in (True, False):  # the least hashes of each: at most ``most`` rows reach the driver
-        taken |= {r.words for r in rows.where(F.col("hot") == hot).dropDuplicates(["words"]).orderBy("h", "words").limit(most).collect()}
-    return [t.split(" ") for t in sorted(taken, key=lambda t: (hash_of(t), t))]
+            out = [(" ".join(p), suspicious(p), hash_of(f"{k} {i}") >> 1) for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, p in enumerate(passages(value or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.bool_(), pa.int64()))], names=["words", "hot", "h"])
+
+    rows = materialize(some.mapInArrow(run, "words string, hot boolean, h bigint"))
+    # at most ``most`` rows of each kind reach the driver
+    taken = [r for hot in (True, False) for r in rows.where(F.col("hot") == hot).orderBy("h", "words").limit(most).collect()]
+    return [r.words.split(" ") for r in sorted(taken, key=lambda r: (r.h, r.words))]
 
 
 _LEARNED: dict[tuple, Chain] = {}
