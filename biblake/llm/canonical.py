@@ -43,6 +43,8 @@ _ORDINAL = re.compile(r"\(?\b\d+(?:st|nd|rd|th)\b\)?", re.I)
 
 def fold(text: str) -> str:
     """Lower case without marks on letters."""
+    if text.isascii():
+        return text.casefold()
     text = unicodedata.normalize("NFKD", text.translate({0xF8: "o", 0xD8: "O", 0x142: "l", 0x141: "L", 0xDF: "ss", 0x131: "i"}))
     return "".join(c for c in text if not unicodedata.combining(c)).casefold()
 
