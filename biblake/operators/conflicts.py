@@ -48,11 +48,43 @@ def text_conflicts(records: DataFrame, field: str, least: float) -> DataFrame:
     return low.where(F.col("lowest") < least).select("paper_id", F.lit(field).alias("field"), "lowest")
 
 
-def review_reasons(conflicts: Column, title: Column, authors: Column, year: Column, doi: Column, arxiv_id: Column, osti_id: Column) -> Column:
-    """Reasons for review: conflicts, missing core fields, no identifier. None: no review."""
+def all_conflicts(records: DataFrame) -> DataFrame:
+    """``paper_id, sources, conflicts``: sorted names of all fields on which a paper's credible sources differ.
+
+    records: ``paper_id, seq, title, authors, year, doi, venue``, one row per credible source.
+    """
+    texts = text_conflicts(records, "title", TITLE_SIM).unionAll(text_conflicts(records, "venue", VENUE_SIM))
+    by_text = texts.groupBy("paper_id").agg(F.collect_set("field").alias("texts"))
+    both = plain_conflicts(records).join(by_text, "paper_id", "left")
+    return both.select("paper_id", "sources", F.sort_array(F.concat("conflicts", F.coalesce("texts", F.array().cast("array<string>")))).alias("conflicts"))
+
+
+#: Sources whose records are compared.
+TIER1 = ["osti", "openalex", "crossref"]
+
+
+def credible(records: DataFrame, least: float = LEAST_SIM) -> DataFrame:
+    """Records of the first tier that were found by identifier or are alike enough (``source``, ``sim``)."""
+    return records.where(F.col("source").isin(TIER1) & (F.col("sim").isNull() | (F.col("sim") >= least)))
+
+
+def tier1_sufficient(records: DataFrame, merged: DataFrame) -> DataFrame:
+    """``paper_id, sufficient``: both large sources found by identifier, none differs, and title, authors and year are known.
+
+    records: as for ``all_conflicts`` with ``source`` and ``sim``; merged: ``paper_id, title, authors, year``.
+    """
+    sure = records.where(F.col("source").isin("openalex", "crossref")).groupBy("paper_id").agg((F.count_distinct("source") == 2).alias("both"), (F.min(F.coalesce("sim", F.lit(0.0))) == 1.0).alias("exact"))
+    differ = all_conflicts(credible(records)).select("paper_id", (F.size("conflicts") > 0).alias("differ"))
+    known = ~is_blank("title") & (F.size("authors") > 0) & (F.coalesce("year", F.lit(0)) != 0)
+    held = merged.join(sure, "paper_id", "left").join(differ, "paper_id", "left")
+    return held.select("paper_id", F.coalesce(F.col("both") & F.col("exact") & ~F.coalesce("differ", F.lit(False)) & known, F.lit(False)).alias("sufficient"))
+
+
+def review_reasons(conflicts: Column, title: Column, authors: Column, year: Column, nameless: Column) -> Column:
+    """Reasons for review: conflicts, missing core fields, and ``nameless`` (nothing to look the paper up by). None: no review."""
     none = F.coalesce(F.size(authors), F.lit(0)) <= 0
     return F.array_compact(F.array(
-        F.when(F.size(conflicts) > 0, F.concat(F.lit("conflicts: "), F.array_join(F.sort_array(conflicts), ", "))),
-        F.when(is_blank(title), "missing: title"), F.when(none, "missing: authors"), F.when(year.isNull() | (year == 0), "missing: year"),
-        F.when(is_blank(doi) & is_blank(arxiv_id) & is_blank(osti_id), "no identifier"),
+        F.when(F.size(conflicts) > 0, F.concat(F.lit("sources disagreed: "), F.array_join(F.sort_array(conflicts), ", "))),
+        F.when(is_blank(title), "title missing"), F.when(none, "authors missing"), F.when(year.isNull() | (year == 0), "year missing"),
+        F.when(nameless, "no identifiers extracted from PDF (no DOI, no arXiv ID, LLM failed)"),
     ))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,15 +15,19 @@ HEADING = r"^#{1,6} .+$"
 MARKER = r"<!--\s*page\s+\d+\s*-->"
 
 
+def placed_lines(each: Column, pattern: str) -> Column:
+    """Lines that match, as (line, start): ``start`` is the offset in characters. One pass; a line that doesn't match costs its length."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line: string, start: int>>").alias("kept"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(x.rlike(pattern), F.concat(acc["kept"], F.array(F.struct(x.alias("line"), acc["at"].alias("start"))))).otherwise(acc["kept"]).alias("kept"))
+    return F.aggregate(each, begin, step, lambda acc: acc["kept"])
+
+
 def headings(md: DataFrame, text: str = "md") -> DataFrame:
     """``paper_id, start, level, title, length``: heading lines with their offsets in characters.
 
-    Offsets come from the lengths of the lines before, inside the row: no window, no shuffle.
+    Offsets are counted along the lines inside the row: no window, no shuffle, and only headings are kept on the way.
     """
-    each = lines(text)
-    ends = F.aggregate(each, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    placed = F.arrays_zip(each.alias("line"), ends.alias("start"))
-    out = md.select("paper_id", F.length(text).alias("length"), F.explode(F.filter(placed, lambda x: x["line"].rlike(HEADING))).alias("h"))
+    out = md.select("paper_id", F.length(text).alias("length"), F.explode(placed_lines(lines(text), HEADING)).alias("h"))
     level = F.length(F.regexp_extract("h.line", r"^(#+)", 1))
     return out.select("paper_id", F.col("h.start").alias("start"), level.alias("level"), strip(F.regexp_replace("h.line", r"^#+ ", "")).alias("title"), "length")
 
@@ -36,24 +41,30 @@ def parse_sections(md: DataFrame, text: str = "md", include_subsections: bool =
     by = Window.partitionBy("paper_id").orderBy("start")
     named = headings(md, text).withColumn("base", slug("title"))
     nth = F.row_number().over(Window.partitionBy("paper_id", "base").orderBy("start"))
-    following = by.rowsBetween(1, Window.unboundedFollowing)
-    after = F.lead("start").over(by) if not include_subsections else F.array_min(F.transform(F.filter(F.collect_list(F.struct("level", "start")).over(following), lambda s: s["level"] <= F.col("level")), lambda s: s["start"]))
+    # from the end backwards, the nearest heading of each level so far
+    behind = Window.partitionBy("paper_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = [F.min(F.when(F.col("level") <= k, F.col("start"))).over(behind) for k in range(1, 7)]
+    after = F.lead("start").over(by) if not include_subsections else F.get(F.array(*nearest), F.col("level") - 1)
     return named.select(
         "paper_id", (F.row_number().over(by) - 1).alias("ord"), F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), nth.cast("string"))).alias("short_name"),
         "title", "level", F.col("start").alias("start_offset"), F.coalesce(after, F.col("length")).alias("end_offset"),
     )
 
 
+def _line_end(text: Column, start: Column) -> Column:
+    """Place of the line break behind an offset, from 1; 0 if there is none."""
+    return F.call_function("locate", F.lit("\n"), text, start + 1)
+
+
 def strip_cover(md: Column | str, title: Column | str, within: int = 6000, most: int = 20) -> Column:
     """Text behind the first of the leading top headings that begins with the title's first eight words; else unchanged."""
     md = col(md)
-    each = lines(md)
-    ends = F.aggregate(each, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    tops = F.slice(F.filter(F.arrays_zip(each.alias("line"), ends.alias("start")), lambda x: x["line"].rlike("^# .+$") & (x["start"] < within)), 1, most)
+    # a heading that begins within the limit may end behind it: what tells it apart stands in its first words
+    tops = F.slice(F.filter(placed_lines(lines(F.left(md, F.lit(within + 2000))), "^# .+$"), lambda x: x["start"] < within), 1, most)
     words = title_words(F.coalesce(col(title), F.lit("")), 8)
     fits = F.filter(tops, lambda x: normal_title(F.substring(x["line"], F.lit(3), F.length(x["line"]))).startswith(F.array_join(words, " ")))
     at = F.get(fits, F.lit(0))
-    return F.when((F.size(words) >= 2) & at.isNotNull(), F.substring(md, at["start"] + F.length(at["line"]) + 2, F.length(md))).otherwise(md)
+    return F.when((F.size(words) >= 2) & at.isNotNull(), F.when(_line_end(md, at["start"]) > 0, F.substring(md, _line_end(md, at["start"]) + 1, F.length(md))).otherwise("")).otherwise(md)
 
 
 def slice_md(md: Column | str, head: int | None = None, tail: int | None = None) -> Column:
@@ -82,42 +93,75 @@ def page_markers(md: DataFrame, text: str = "md") -> DataFrame:
     return md.select("paper_id", F.posexplode(pages).alias("nth", "page")).select("paper_id", F.col("page").cast("int").alias("page"), "nth")
 
 
-def _mark(text: str, blocks: list) -> tuple[str, list[int]]:
-    """A text with a marker before the first content of each page, and the pages whose marker stands where the cursor was."""
-    if not blocks:
+class Anchors:
+    """Where the beginnings of blocks occur in a text."""
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def places(self, anchor: str) -> list[int]:
+        """All offsets of an anchor, ascending; looked up once."""
+        if anchor not in self.known:
+            found, at = [], self.text.find(anchor)
+            while at >= 0:
+                found.append(at)
+                at = self.text.find(anchor, at + 1)
+            self.known[anchor] = found
+        return self.known[anchor]
+
+    def next(self, anchors: list[str], least: int) -> int | None:
+        """The first offset from ``least`` on of the first anchor that has one."""
+        later = ((p, bisect_left(p, least)) for p in map(self.places, anchors))
+        return next((p[i] for p, i in later if i < len(p)), None)
+
+
+def page_breaks(text: str, pages: list[tuple[int, list[str]]]) -> list[tuple[int, int, bool]]:
+    """``(offset, page, stray)`` of the marker of every page that shows in the text, offsets ascending.
+
+    pages: in reading order, each with the beginnings of its blocks. A page starts at the line of its first block found
+    behind the page before; one whose blocks are found only before that is stray: its marker stands right behind the one
+    before. A page none of whose blocks is in the text has no marker.
+    """
+    known, out, reached = Anchors(text), [], 0
+    for page, anchors in pages:
+        spot = known.next(anchors, reached)
+        if spot is not None:
+            reached = max(text.rfind("\n", reached, spot) + 1, 0) or spot
+            out.append((reached, page, False))
+        elif any(map(known.places, anchors)):
+            out.append((reached, page, True))
+    return out
+
+
+def marked(text: str, pages: list[tuple[int, list[str]]]) -> tuple[str, list[int]]:
+    """A text with its page markers, and the stray pages. Without any block the whole text is page 1."""
+    if not pages:
         return f"\n<!-- page 1 -->\n\n{text}", []
-    pages: dict[int, list[str]] = {}
-    for b in blocks:
-        pages.setdefault(b["page_idx"] or 0, []).append((b["text"] or "").strip())
-    out, at, fallback, seen = [], 0, [], False
-    for page, texts in pages.items():
-        marker = ("\n\n" if seen else "\n") + f"<!-- page {page + 1} -->\n\n"
-        anchors = [t[:60] for t in texts if len(t) >= 8]
-        spot = next((p for p in (text.find(a, at) for a in anchors) if p >= 0), -1)
-        if spot >= 0:
-            begin = text.rfind("\n", at, spot) + 1 or spot
-            out += [text[at:begin], marker]
-            at, seen = begin, True
-        elif any(a in text for a in anchors):
-            out.append(marker)
-            fallback.append(page)
-            seen = True
-        elif not anchors:
-            seen = True
-    return "".join([*out, text[at:]]), fallback
+    breaks = page_breaks(text, pages)
+    # one line break is enough before the page that opens the text: the first that shows in it or has nothing to show
+    shown = {page for _, page, _ in breaks}
+    opening = next((page for page, anchors in pages if page in shown or not anchors), None)
+    cuts = [0, *(at for at, _, _ in breaks), len(text)]
+    marks = [("\n" if page == opening else "\n\n") + f"<!-- page {page + 1} -->\n\n" for _, page, _ in breaks]
+    pieces = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+    return "".join(x for pair in zip(pieces, [*marks, ""]) for x in pair), [page for _, page, stray in breaks if stray]
 
 
 def inject_markers(md: DataFrame, blocks: DataFrame, text: str = "md") -> DataFrame:
     """``paper_id, md, fallback``: texts with a page marker before each page's first content found in them.
 
-    Each search starts where the last one ended, so a text is one row of work: blocks go along as an array, only the
-    first 60 characters of each, one shuffle by paper.
+    Only blocks of papers with a text are read, of each page the first 60 characters of its blocks: no more than the text
+    they are looked for in, which is one row already. Blocks meet by page first, then by paper.
     """
-    order = blocks.where("text is not null").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("ord", "page_idx", F.substring(strip("text"), 1, 60).alias("text")))).alias("blocks"))
+    held = blocks.where("text is not null").join(md.select("paper_id").dropDuplicates(), "paper_id", "left_semi")
+    begun = held.select("paper_id", F.coalesce("page_idx", F.lit(0)).alias("page"), "ord", F.substring(strip("text"), 1, 60).alias("text"))
+    long = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda b: b["text"]), lambda t: F.length(t) >= 8)
+    by_page = begun.groupBy("paper_id", "page").agg(F.min("ord").alias("first"), long.alias("anchors"))
+    order = by_page.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("first", "page", "anchors"))).alias("pages"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            done = [_mark(t or "", list(b) if b is not None else []) for t, b in zip(part["md"], part["blocks"])]
+            done = [marked(t or "", [(p["page"], list(p["anchors"])) for p in b] if b is not None else []) for t, b in zip(part["md"], part["pages"])]
             yield pd.DataFrame({"paper_id": part["paper_id"], "md": [d[0] for d in done], "fallback": [d[1] for d in done]})
 
     return md.select("paper_id", F.col(text).alias("md")).join(order, "paper_id", "left").mapInPandas(run, "paper_id string, md string, fallback array<int>")

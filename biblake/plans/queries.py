@@ -292,12 +292,13 @@ def conflicts_title(spark, root):
 
 
 @query(
-    f"with {_BIB} select paper_id, array_to_string(list_filter([case when coalesce({_STRIP('title')}, '') = '' then 'missing: title' end, case when coalesce(len(authors), 0) = 0 then 'missing: authors' end, case when year is null or year = 0 then 'missing: year' end, "
-    f"case when coalesce({_STRIP('doi')}, '') = '' and coalesce({_STRIP('arxiv_id')}, '') = '' and coalesce({_STRIP('osti_id')}, '') = '' then 'no identifier' end], lambda x: x is not null), '; ') as reasons from b"
+    f"with {_BIB} select paper_id, array_to_string(list_filter([case when paper_id < '4' then 'sources disagreed: doi, year' end, case when coalesce({_STRIP('title')}, '') = '' then 'title missing' end, case when coalesce(len(authors), 0) = 0 then 'authors missing' end, case when year is null or year = 0 then 'year missing' end, "
+    f"case when coalesce({_STRIP('doi')}, '') = '' and coalesce({_STRIP('arxiv_id')}, '') = '' then 'no identifiers extracted from PDF (no DOI, no arXiv ID, LLM failed)' end], lambda x: x is not null), '; ') as reasons from b"
 )
 def review_reasons(spark, root):
-    c = [F.col(x) for x in ("title", "authors", "year", "doi", "arxiv_id", "osti_id")]
-    return latest_bib(spark, root).select("paper_id", F.array_join(conflicts.review_reasons(F.array().cast("array<string>"), *c), "; ").alias("reasons"))
+    differ = F.expr("case when paper_id < '4' then array('year', 'doi') else cast(array() as array<string>) end")
+    nameless = X.is_blank("doi") & X.is_blank("arxiv_id")
+    return latest_bib(spark, root).select("paper_id", F.array_join(conflicts.review_reasons(differ, F.col("title"), F.col("authors"), F.col("year"), nameless), "; ").alias("reasons"))
 
 
 @query("select record_id, case when record_id % 3 = 0 then 'no_match' when record_id % 5 = 0 or (record_id % 100) / 100.0 >= 0.9 then 'hit' else 'low_sim' end as status from source_records")
@@ -597,10 +598,34 @@ def show_info(spark, root):
 @query()
 def resolve_papers(spark, root):
     r = latest_records(spark, root).withColumns({"paper_id": F.expr("cast(record_id div 4 as string)"), "doi": F.lit(None).cast("string"), "seq": F.col("record_id")})
-    out = resolve.resolve(_claims(spark, root), r.select("paper_id", "seq", "authors", "doi", "year"))
+    out = resolve.resolve(_claims(spark, root), r.select("paper_id", "source", "seq", "title", "authors", "doi", "year", "venue", "raw_type"))
     return out.select("paper_id", "title", "year", "category", "category_rule", "needs_review", F.array_join("review_reasons", "; ").alias("reasons"))
 
 
+_EDITS = "select distinct paper_id, 'category' as field, case cast(paper_id as bigint) % 4 when 0 then 'thesis' when 1 then 'book' else 'preprint' end as value, case cast(paper_id as bigint) % 4 when 0 then 'human' when 1 then 'tool:fix' else 'derived' end as source from c where cast(paper_id as bigint) % 4 < 3"
+_WON = f"arg_max(value, {_RANK} * 1000000000::bigint + seq)"
+
+
+@query(
+    f"with {_CLAIMS}, e as ({_EDITS}), k as (select paper_id, arg_max(raw_type, record_id) filter (where source = 'crossref' and raw_type is not null) as raw_type from (select cast(record_id // 4 as varchar) as paper_id, * from r) group by paper_id), "
+    f"w as (select paper_id, {_WON} filter (where field = 'title') as title, {_WON} filter (where field = 'year') as year, {_WON} filter (where field = 'venue') as venue from c group by paper_id), "
+    "b as (select w.*, null::varchar as doi, null::varchar as arxiv_id, raw_type from w left join k on k.paper_id = w.paper_id), "
+    f"t as ({_classify_sql().split(' as raw_type from b) ', 1)[1]}) "
+    "select b.paper_id, b.title, try_cast(b.year as int) as year, case when e.source in ('human', 'tool:fix') then e.value else t.category end as category, case when e.source in ('human', 'tool:fix') then null else t.rule end as category_rule "
+    "from b join t on t.paper_id = b.paper_id left join e on e.paper_id = b.paper_id".replace(" from t)", " from b)")
+)
+def resolve_fields(spark, root):
+    """Merged fields and category of papers that were resolved and partly edited before."""
+    r = latest_records(spark, root).withColumns({"paper_id": F.expr("cast(record_id div 4 as string)"), "doi": F.lit(None).cast("string"), "seq": F.col("record_id")})
+    claims = _claims(spark, root)
+    n = F.col("paper_id").cast("bigint") % 4
+    old = claims.where(n < 3).select("paper_id").dropDuplicates().select(
+        "paper_id", F.lit("category").alias("field"), F.when(n == 0, "thesis").when(n == 1, "book").otherwise("preprint").alias("value"), F.when(n == 0, "human").when(n == 1, "tool:fix").otherwise("derived").alias("source")
+    )
+    out = resolve.resolve(claims, r.select("paper_id", "source", "seq", "title", "authors", "doi", "year", "venue", "raw_type"), old)
+    return out.select("paper_id", "title", "year", "category", "category_rule")
+
+
 _INDEX = "x as (select paper_id, ord, title, short_name from sections qualify row_number() over (partition by paper_id, ord order by generated_at desc, title desc, coalesce(short_name, '') desc) = 1)"
 
 

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.classify import category
 from ..functions.ids import bibtex_key, extract_arxiv_id, extract_doi
 from ..functions.text import NOT_WORD
-from ..operators.conflicts import plain_conflicts, review_reasons
-from ..operators.merge import FIELDS, IDENTIFIERS, merge_claims
+from ..functions.text import is_blank
+from ..operators.conflicts import all_conflicts, review_reasons
+from ..operators.merge import EDITED, FIELDS, IDENTIFIERS, PRIORITY, SEQUENCE, merge_claims, priority
 
-#: Order in which the sources write.
-SEQUENCE = {"pdf": 1, "llm": 2, "osti": 3, "openalex": 4, "crossref": 5, "arxiv": 6, "dblp": 7, "bibtex": 9, "semanticscholar": 10, "derived": 11}
 #: Lines that are no title.
-_NO_TITLE = r"^(?:(?:LLNL|ANL|ORNL|PNNL|SAND|NREL|BNL|SLAC|LA-UR|LA-|ORNL/TM)\b|(?i:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}|\d{4}[-/]|\d+$|(?i:doi:)|\d+\s+[a-z])"
+_NO_TITLES = [
+    r"^(?:LLNL|ANL|ORNL|PNNL|SAND|NREL|BNL|SLAC|LA-UR|LA-|ORNL/TM)\b",
+    r"^(?i:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}",
+    r"^\d{4}[-/]",
+    r"^\d+$",
+    r"^(?i:doi:)",
+    r"^\d+\s+[a-z]",
+]
+_NO_TITLE = "|".join(_NO_TITLES)
 _NO_FIRST = ["abstract", "disclaimer", "preface", "contents", "acknowledgment", "acknowledgements", "acknowledgement", "introduction", "references", "appendix", "copyright", "rights"]
 
 
@@ -45,18 +52,24 @@ def identifiers(pages: DataFrame) -> DataFrame:
 def resolve(claims: DataFrame, records: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row per paper: merged fields, category with its rule, derived key, conflicts, review.
 
-    claims: as ``claims_of`` makes them, of all sources. records: the credible records (``paper_id, seq, authors, doi,
-    year``) for conflicts. A paper's winners meet by paper once; nothing is collected.
+    claims: as ``claims_of_sources`` makes them. records: the credible records (``paper_id, source, seq, title, authors,
+    doi, year, venue``, and ``raw_type`` if there is one) for conflicts and, of CrossRef, for the category. The category
+    and the key are derived where no better source gave one: edits of people and tools stay, and so do earlier values of
+    a higher rank. A paper's winners meet by paper once; nothing is collected.
     """
     won = merge_claims(claims, existing)
-    wide = won.groupBy("paper_id").pivot("field", FIELDS + IDENTIFIERS).agg(F.first("value"))
-    raw = claims.where("field = 'raw_type'").groupBy("paper_id").agg(F.max("value").alias("raw_type"))
+    # a category of at most the rank of rules is derived anew
+    won = won.where((F.col("field") != "category") | (priority("source") > PRIORITY["derived"]))
+    wide = won.groupBy("paper_id").pivot("field", FIELDS + IDENTIFIERS + EDITED).agg(F.first("value"))
+    type_of = F.max_by("raw_type", "seq") if "raw_type" in records.columns else F.lit(None).cast("string")
+    raw = records.where("source = 'crossref'").groupBy("paper_id").agg(type_of.alias("raw_type"))
     typed = wide.withColumns({"authors": F.from_json("authors", "array<string>"), "keywords": F.from_json("keywords", "array<string>"), "year": F.col("year").try_cast("int")}).join(raw, "paper_id", "left")
-    full = typed.join(plain_conflicts(records).select("paper_id", "conflicts"), "paper_id", "left").withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
-    reasons = review_reasons(F.col("conflicts"), F.col("title"), F.col("authors"), F.col("year"), F.col("doi"), F.col("arxiv_id"), F.col("osti_id"))
+    full = typed.join(all_conflicts(records).select("paper_id", "conflicts"), "paper_id", "left").withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
+    nameless = is_blank("title") & is_blank("doi") & is_blank("arxiv_id")
+    reasons = review_reasons(F.col("conflicts"), F.col("title"), F.col("authors"), F.col("year"), nameless)
     kind = category("doi", "arxiv_id", "venue", "raw_type")
     return full.withColumns({
-        "category": kind["category"], "category_rule": kind["rule"], "bibtex_key": F.coalesce("bibtex_key", bibtex_key("authors", "year", "title")), "review_reasons": reasons, "needs_review": F.size(reasons) > 0,
+        "category": F.coalesce("category", kind["category"]), "category_rule": F.when(F.col("category").isNull(), kind["rule"]), "bibtex_key": F.coalesce("bibtex_key", bibtex_key("authors", "year", "title")), "review_reasons": reasons, "needs_review": F.size(reasons) > 0,
     })
 
 

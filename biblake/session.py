@@ -37,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not named:
         already = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not already.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # in local mode, as in tests, all executors are this machine
         named = already.get() if already.isDefined() else f"file://{tempfile.mkdtemp(prefix='biblake-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
