@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import combinations, product
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -124,6 +124,11 @@ class Names:
                 self.joined["".join(content)] = ref
                 vocabulary |= set(content)
         self.speller, self.whole = Speller(vocabulary), Speller(self.joined)
+        #: names by their length, a place in them and the word there
+        self.at: dict[tuple[int, int, str], set[tuple[str, ...]]] = {}
+        for content in self.names:
+            for i, w in enumerate(content):
+                self.at.setdefault((len(content), i, w), set()).add(content)
         self.prefixes: dict[str, set[str]] = {}
         for w in vocabulary:
             for n in range(3, len(w)):
@@ -153,12 +158,18 @@ class Names:
         for order in {text, " ".join(reversed(text.split(",", 1)))}:
             words = [w for w in words_of(order) if w not in LITTLE]
             options = [self.word(w) for w in words]
-            if words and all(options) and len(words) < 12:
-                options = [dict(sorted(o.items(), key=lambda x: (x[1], x[0]))[:6]) for o in options]
-                for chosen in product(*options):
-                    if (ref := self.names.get(chosen)) is not None:
-                        key = (sum(o[c] for o, c in zip(options, chosen)), -self.used.get(ref, 0), ref)
-                        best = key if best is None else min(best, key)
+            if words and all(options):
+                # names that have an option of each typed word at its place
+                fits: set[tuple[str, ...]] | None = None
+                for i, o in enumerate(options):
+                    here = set().union(*(self.at.get((len(words), i, w), ()) for w in o))
+                    fits = here if fits is None else fits & here
+                    if not fits:
+                        break
+                for chosen in fits or ():
+                    ref = self.names[chosen]
+                    key = (sum(o[c] for o, c in zip(options, chosen)), -self.used.get(ref, 0), ref)
+                    best = key if best is None else min(best, key)
             if best is None:
                 for w, d in self.whole.near("".join(words)).items():
                     key = (d, -self.used.get(self.joined[w], 0), self.joined[w])

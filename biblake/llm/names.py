@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, table
 from .canonical import distance, fold
 
-SIMILAR, ALIKE, ESTABLISHED = 0.4, 0.86, 4
+SIMILAR, GIVEN, ALIKE, ESTABLISHED = 0.4, 0.2, 0.86, 4
 #: How many times as frequent the name is that a given name may be a slip of; below ``ESTABLISHED`` any may be one.
 RATIO = 8
 #: Particles of surnames, titles and words of collaborations.
@@ -149,10 +149,14 @@ def keys(names: DataFrame) -> DataFrame:
     return judged.select("name", "n", "kind", "lefts", "rights", "turned", "middle").mapInArrow(name_parts, "name string, n bigint, surname string, given string, exact string")
 
 
-def similar_pairs(words: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """``a, b`` (a < b) of the distinct strings ``word`` whose trigram sets have at least the given Jaccard similarity and that differ by at most two edits."""
-    padded = F.concat(F.lit("##"), "word", F.lit("##"))
-    grams = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 2), lambda i: F.substr(padded, i, F.lit(3))))).alias("gram"))
+def similar_pairs(words: DataFrame, threshold: float = SIMILAR, size: int = 3) -> DataFrame:
+    """``a, b`` (a < b) of the distinct strings ``word`` that differ by at most two edits and whose sets of grams of ``size`` letters have at least the given Jaccard similarity.
+
+    No such pair is lost; some that are less similar but share a rare gram come too, and are left to who verifies.
+    """
+    edge = "#" * (size - 1)
+    padded = F.concat(F.lit(edge), "word", F.lit(edge))
+    grams = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + size - 1), lambda i: F.substr(padded, i, F.lit(size))))).alias("gram"))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = grams.join(frequency, "gram").withColumns({
         "rank": F.row_number().over(Window.partitionBy("word").orderBy("df", "gram")),
@@ -188,7 +192,8 @@ def link_names(bib: DataFrame) -> DataFrame:
     Strings of one person or collaboration have the same ``entity``. Null and empty author lists and null or blank
     names give no rows; repeated rows count in the frequencies only; an empty table gives no rows. A short form that
     fits several persons goes to the one written with the same marks and particles, then to the most frequent one,
-    then to the first by name.
+    then to the first by name. Initials that fit nobody written out stay by themselves, linked only with what has the
+    same surname and initial.
     """
     spell = materialize(keys(distinct_names(bib)).where("surname <> ''"))
     node = F.concat_ws("|", "surname", "given")
@@ -225,7 +230,10 @@ def link_names(bib: DataFrame) -> DataFrame:
     columns = ["a", "b", "sa", "sb", "ga", "gb", "fa", "fb", (total - F.log(F.least("xa", "xb").cast("double")) + 1).alias("ws"), (total - F.log(F.greatest("fa", "fb").cast("double")) + 1).alias("wg"), (F.col("ga") == F.col("gb")).alias("same")]
     by_given = near.where("a < b").select(F.col("a").alias("sa"), F.col("b").alias("sb")).join(a, "sa").join(b.withColumnRenamed("gb", "ga2"), "sb").where("ga = ga2").withColumnRenamed("ga2", "gb").select(*columns)
     # another spelling of the given name beside the same surname: one of the two is rare as a given name, or rare beside the other
-    within = a.join(b, a.sa == b.sb).where(f"a < b and (least(fa, fb) < {ESTABLISHED} or least(fa, fb) * {RATIO} <= greatest(fa, fb)) and abs(length(ga) - length(gb)) <= 2").where(F.levenshtein("ga", "gb", 2) >= 0).select(*columns)
+    # the given names meet through the similarity join of all given names, so a frequent surname pairs no more than its own
+    given = materialize(similar_pairs(full.select(F.col("given").alias("word")).dropDuplicates(), GIVEN, 2))
+    met = given.select(F.col("a").alias("ga"), F.col("b").alias("gb")).join(a, "ga").withColumn("sb", F.col("sa")).join(b, ["sb", "gb"])
+    within = met.where(f"least(fa, fb) < {ESTABLISHED} or least(fa, fb) * {RATIO} <= greatest(fa, fb)").select(*columns)
     edges = verified(by_given.unionAll(within))
     classes = components(edges)
     whole = people.where("full").join(classes, "node", "left").select("surname", "given", "n", "exact", "node", F.coalesce("label", "node").alias("entity"))
@@ -237,11 +245,13 @@ def link_names(bib: DataFrame) -> DataFrame:
     target = sized.select(F.col("surname").alias("at"), F.col("given").alias("of"), "exact", "entity", "weight")
     spots = short.select("surname").dropDuplicates()
     reach = spots.select("surname", F.col("surname").alias("at"), F.lit(0).alias("off")).unionAll(near.join(spots, near.a == spots.surname).where(F.levenshtein("a", "b", 2) >= 0).select("surname", F.col("b").alias("at"), F.levenshtein("a", "b").alias("off")))
-    fits = short.join(reach, "surname").join(target, "at").join(F.broadcast(open_forms), (F.col("given") == F.col("form")) & (F.col("of") == F.col("stands_for")), "left")
-    fits = fits.where("given <> '' and (form is not null or (length(given) = 1 and startswith(of, given)))")
+    # by surname and first letter, or by surname and the name a form stands for: nobody meets all of a surname
+    asked = short.where("given <> ''").join(reach, "surname")
+    by_letter = asked.where("length(given) = 1").withColumn("letter", F.col("given")).join(target.withColumn("letter", F.left("of", F.lit(1))), ["at", "letter"]).drop("letter")
+    by_form = asked.join(F.broadcast(open_forms), asked.given == open_forms.form).drop("form").withColumnRenamed("stands_for", "of").join(target, ["at", "of"])
+    fits = by_letter.unionByName(by_form)
     best = Window.partitionBy("short").orderBy("off", F.col("written") != F.col("exact"), F.desc("weight"), "entity")
     attached = fits.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(F.col("short").alias("node"), "entity")
-    # initials that fit nobody may still be the same with a slip in the surname: the more frequent one names the class
     entity = whole.select("node", "entity").unionAll(attached)
     return spell.withColumn("node", node).join(entity, "node", "left").select("name", F.coalesce("entity", "node").alias("entity"))
 

@@ -2,7 +2,8 @@
 
 Method: every position where a section may be cut has a strength (paragraph, sentence, word). A sparse table over the
 strengths answers, for the window of lengths a piece may have, which cut is strongest; among equals the rightmost one
-wins, which makes pieces long. The next piece starts ``overlap`` characters before the cut.
+wins, which makes pieces long. The window is the later half of the limit, or all of it if that half has no cut of the
+kind that suffices for the text. The next piece starts ``overlap`` characters before the cut.
 """
 
 from __future__ import annotations
@@ -85,8 +86,13 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[int,
     out, start, cut = [], 0, 0
     while start + limit < len(text):
         a, b = bisect_right(cuts, cut), bisect_right(cuts, start + limit)
-        if a < b:
-            key = best(a, b)
+        late = max(a, bisect_right(cuts, start + limit // 2))
+        key = best(late, b) if late < b else None
+        # earlier in the window only for a boundary of the kind that suffices for the text
+        if a < late and (key is None or key // (n + 1) < needed):
+            early = best(a, b)
+            key = early if key is None or early // (n + 1) >= needed else key
+        if key is not None:
             end, kind = cuts[key % (n + 1)], key // (n + 1)
         else:
             end, kind = start + limit, NONE

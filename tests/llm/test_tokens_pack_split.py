@@ -88,8 +88,12 @@ def test_pieces_against_brute_force():
             assert b - a <= limit and b > at
             assert a == (max(begun, at - overlap) if k else 0)
             if b < len(text):
-                window = [(strength.get(p, 0), p) for p in range(at + 1, a + limit + 1) if p in strength]
-                assert (kind, b) == (max(window) if window else (0, a + limit))
+                window = [(strength[p], p) for p in range(at + 1, a + limit + 1) if p in strength]
+                late = [x for x in window if x[1] > a + limit // 2]
+                # the later half of the window, or all of it for a cut of the kind that suffices
+                if window and (not late or max(late)[0] < needed <= max(window)[0]):
+                    late = [x for x in window if x[1] <= max(at, a + limit // 2)]
+                assert (kind, b) == (max(late) if late else (0, a + limit))
             at, begun = b, a
         assert at == len(text)
 
@@ -111,3 +115,13 @@ def test_split_sections_cases(spark):
     assert split.split_sections(s.limit(0), m, 20, 4).count() == 0 and split.split_sections(s, m.limit(0), 20, 4).count() == 0
     with pytest.raises(ValueError):
         split.pieces("abc", 2, 2)
+
+
+def test_pieces_are_no_shorter_than_half_while_a_cut_suffices():
+    text = "Short one.\n\n" + "A sentence of some words goes on here. " * 300
+    needed, cut = split.pieces(text, 3000, 200)
+    assert needed == split.SENTENCE and all(b - a > 1500 for a, b, _ in cut[:-1]) and all(b - a <= 3000 for a, b, _ in cut)
+    # a paragraph break suffices for this text, so it is used though it comes early
+    text = "x" * 1000 + "\n\n" + ("y" * 50 + ". ") * 55 + "\n\n" + "z" * 2000
+    needed, cut = split.pieces(text, 3000, 200)
+    assert needed == split.PARAGRAPH and cut[0] == (0, 1002, split.PARAGRAPH)
