@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -100,9 +102,45 @@ def inputs(bib: DataFrame, md: DataFrame, sections: DataFrame, questions: DataFr
     )
 
 
-def run(ready: DataFrame, client: Callable[[], Callable[[str, str], str]], model: str, tries: int = 3) -> DataFrame:
+def unfenced(text: str) -> str:
+    """An answer without the code fence around it."""
+    return re.sub(r"^\s*```[a-zA-Z]*\s*\n?|\n?\s*```\s*$", "", text).strip()
+
+
+def current(ready: DataFrame, done: DataFrame, model: str, override: str | None = None) -> DataFrame:
+    """``paper_id, name``: questions already answered from the same input, prompt and model, with an answer that is there.
+
+    done: ``paper_id, name, model, input_sha, prompt_sha, output``.
+    """
+    meant = F.lit(override) if override else F.coalesce("model", F.lit(model))
+    asked = ready.where("status = 'ready'").select("paper_id", "name", meant.alias("model"), "input_sha", "prompt_sha")
+    return asked.join(done.where("output is not null"), ["paper_id", "name", "model", "input_sha", "prompt_sha"], "left_semi").select("paper_id", "name")
+
+
+def distill(ready: DataFrame, client: Callable[[], Callable[[str, str], str]], model: str, done: DataFrame | None = None, force: bool = False, override: str | None = None, **more) -> DataFrame:
+    """As ``run``, but what is current in ``done`` isn't asked again (unless ``force``) and has the status ``cached``; questions that can't be asked keep theirs.
+
+    override: the model of all questions, whatever they name. Of ``done`` a paper's question has at most one row.
+    """
+    if override:
+        ready = ready.withColumn("model", F.lit(override))
+    held = current(ready, done, model) if done is not None and not force else ready.select("paper_id", "name").limit(0)
+    asked = run(ready.join(held, ["paper_id", "name"], "left_anti"), client, model, **more)
+    null = lambda kind: F.lit(None).cast(kind)
+    rest = ready.where("status <> 'ready'").select("paper_id", "name", "model", null("string").alias("output"), null("boolean").alias("truncated"), null("int").alias("original_length"), "status", "error")
+    out = asked.unionByName(rest)
+    if done is None or force:
+        return out
+    kept = held.join(done.select("paper_id", "name", "model", "output"), ["paper_id", "name"])
+    return out.unionByName(kept.select("paper_id", "name", "model", "output", null("boolean").alias("truncated"), null("int").alias("original_length"), F.lit("cached").alias("status"), null("string").alias("error")))
+
+
+def run(ready: DataFrame, client: Callable[[], Callable[[str, str], str]], model: str, tries: int = 3, wait: float = 0.0, as_json: bool = False) -> DataFrame:
     """``paper_id, name, model, output, truncated, original_length, status, error``: answers, one call per row.
 
+    wait: seconds before the second try, twice as many before each further one. as_json: an answer's code fence is cut
+    off, and one that is no JSON counts as a failure of that try.
+
     client: makes, once per task, a function of model and prompt. A row's failure is its own. Answers are written
     before anything reads them, so no plan asks twice.
     """
@@ -115,11 +153,15 @@ def run(ready: DataFrame, client: Callable[[], Callable[[str, str], str]], model
                 for left in range(tries - 1, -1, -1):
                     try:
                         text, problem = answer(m, p), None
+                        if as_json:
+                            text = unfenced(text)
+                            json.loads(text)
                         break
                     except Exception as e:  # what a client raises is not known here
                         text, problem = None, str(e)
                         if not left:
                             break
+                        time.sleep(wait * 2 ** (tries - 1 - left))
                 out.append(text), errors.append(problem)
             yield part[["paper_id", "name", "model"]].assign(raw=out, error=errors, max_chars=part["max_chars"])
 

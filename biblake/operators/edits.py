@@ -67,6 +67,17 @@ def apply_patches(fields: DataFrame, patches: DataFrame, source: str, at: str, n
     return out.where("not (changed and value is null) and (value is not null or source is not null)")
 
 
+def clear_review(bib: DataFrame, edited: DataFrame, clear: bool) -> DataFrame:
+    """``bib`` with ``needs_review`` and ``review_reasons`` emptied for the papers of ``edited`` if ``clear``; a call without is no change."""
+    if not clear:
+        return bib
+    seen = edited.select("paper_id", F.lit(True).alias("_cleared")).dropDuplicates()
+    out = bib.join(seen, "paper_id", "left")
+    return out.withColumns({
+        "needs_review": F.when(F.col("_cleared"), False).otherwise(F.col("needs_review")), "review_reasons": F.when(F.col("_cleared"), F.array().cast("array<string>")).otherwise(F.col("review_reasons")),
+    }).select(*bib.columns)
+
+
 def edit_diff(fields: DataFrame, patches: DataFrame) -> DataFrame:
     """``paper_id, field, before, after`` of patches that would change something: a dry run."""
     last = patches.withColumn("error", patch_error("field", "value")).groupBy("paper_id", "field").agg(F.max_by(F.struct("value", "error"), "seq").alias("p"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,10 +65,13 @@ def data_url(content: Column | str) -> Column:
     return F.concat(F.lit("data:image/jpeg;base64,"), F.base64(col(content)))
 
 
-@F.udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
-def jpeg_size(content: bytes) -> tuple[int, int]:
-    """Pixels of a JPEG file from its frame header; (0, 0) if it can't be read."""
-    data = bytes(content or b"")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+def jpeg_size(content: pd.Series) -> pd.DataFrame:
+    """Pixels of JPEG files from their frame headers, a batch at a time; (0, 0) if one can't be read."""
+    return pd.DataFrame([_frame(bytes(x or b"")) for x in content], columns=["width", "height"], dtype="int32")
+
+
+def _frame(data: bytes) -> tuple[int, int]:
     if data[:2] != b"\xff\xd8":
         return 0, 0
     at = 2

@@ -144,9 +144,34 @@ def _alike(a: pa.Table, b: pa.Table, least: float, most: int, schema: StructType
     return pa.Table.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
 
-def cascade(papers: DataFrame, records: DataFrame) -> DataFrame:
-    """``paper_id, rec, kind, sim``: by DOI, else by arXiv id. The second lookup sees only what the first left."""
+def by_title(papers: DataFrame, records: DataFrame, least: float = 0.9, kind: str = "title", strict: bool = False) -> DataFrame:
+    """``paper_id, rec, kind, sim``: the record of the most alike title, null where none reaches ``least`` (``strict``: exceeds it).
+
+    papers: ``paper_id, title, year``; records: any columns, ``title`` and ``year`` among them. A record is known by its
+    content, so equal records count once.
+    """
+    told = records.withColumn("record_id", F.xxhash64(*records.columns))
+    near = fuzzy_top1(papers.select("paper_id", "title", "year"), told.select("record_id", "title", "year"), least)
+    near = near.where(F.col("sim") > least) if strict else near
+    held = told.groupBy("record_id").agg(F.min(F.struct(*records.columns)).alias("rec"))
+    found = papers.select("paper_id").join(near.join(held, "record_id"), "paper_id", "left")
+    return found.select("paper_id", "rec", F.when(F.col("rec").isNotNull(), F.lit(kind)).alias("kind"), "sim")
+
+
+def lookup_bibtex(papers: DataFrame, entries: DataFrame, least: float = 0.85) -> DataFrame:
+    """``paper_id, rec, kind, sim``: a paper's entry in a BibTeX file, by DOI, else by a title of at least ``least``."""
+    first = lookup_by(papers, entries, "doi")
+    found = first.where("rec is not null").select("paper_id", "rec", F.lit("doi").alias("kind"), "sim")
+    return found.unionByName(by_title(first.where("rec is null").drop("rec", "sim"), entries, least))
+
+
+def cascade(papers: DataFrame, records: DataFrame, titles: bool = False, least: float = 0.9) -> DataFrame:
+    """``paper_id, rec, kind, sim``: by DOI, else by arXiv id, else, with ``titles``, by title. A lookup sees only what those before left."""
     by_doi = lookup_by(papers, records, "doi")
     found = by_doi.where("rec is not null").select("paper_id", "rec", F.lit("doi").alias("kind"), "sim")
     rest = lookup_by(by_doi.where("rec is null").drop("rec", "sim"), records, "arxiv_id", lambda c: null_if_empty(bare_arxiv(c)))
-    return found.unionByName(rest.select("paper_id", "rec", F.when(F.col("rec").isNotNull(), F.lit("arxiv")).alias("kind"), "sim"))
+    second = rest.select("paper_id", "rec", F.when(F.col("rec").isNotNull(), F.lit("arxiv")).alias("kind"), "sim")
+    if not titles:
+        return found.unionByName(second)
+    left = rest.where("rec is null").drop("rec", "sim")
+    return found.unionByName(second.where("rec is not null")).unionByName(by_title(left, records, least))

@@ -18,7 +18,7 @@ def test_merge_is_the_sequential_rule(spark):
             v = rng.choice(["a", "b", None, ""])
             rows.append((str(paper), "title", v, s, "k", 0.912345, seq))
             rank = 100 if s in ("human", "tool:x") else merge.PRIORITY.get(s, 0)
-            if v and (source is None or rank >= source[1]):
+            if v and (source is None or source[1] < 100 and rank >= source[1]):  # what people and tools set stays
                 value, source = v, (s, rank)
         if value:
             want[str(paper)] = (value, source[0])
@@ -242,3 +242,49 @@ def test_backfilled_names_count_those_before(spark):
     rows = [("p", 0, "methods", "x"), ("p", 1, None, "Methods"), ("p", 2, "", "Methods"), ("p", 3, None, "Other")]
     out = surface.backfill_short_names(spark.createDataFrame(rows, "paper_id string, ord int, short_name string, title string")).orderBy("ord").collect()
     assert [r.short_name for r in out] == ["methods", "methods_2", "methods_3", "other"]
+
+
+def test_questions_are_asked_once_per_input(spark):
+    from biblake.operators import distill
+
+    ready = spark.createDataFrame(
+        [("a", "q", "abstract", "Why?", None, None, "text a", 1, "ready", None, "i1", "p1"), ("b", "q", "abstract", "Why?", None, None, "text b", 1, "ready", None, "i2", "p1"), ("c", "q", "abstract", "Why?", None, None, None, None, "error", "no abstract", None, "p1")],
+        "paper_id string, name string, scope string, prompt string, max_chars int, model string, content string, tokens int, status string, error string, input_sha string, prompt_sha string",
+    )
+    done = spark.createDataFrame([("a", "q", "m", "i1", "p1", "old"), ("b", "q", "m", "other", "p1", "old")], "paper_id string, name string, model string, input_sha string, prompt_sha string, output string")
+    client = lambda: lambda model, prompt: f"```json\n{{\"by\": \"{model}\"}}\n```"
+    told = lambda df: {r.paper_id: (r.status, r.output) for r in df.collect()}
+    assert told(distill.distill(ready, client, "m", done, as_json=True)) == {"a": ("cached", "old"), "b": ("distilled", '{"by": "m"}'), "c": ("error", None)}
+    assert told(distill.distill(ready, client, "m", done, force=True, as_json=True))["a"] == ("distilled", '{"by": "m"}')
+    assert told(distill.distill(ready, client, "m", done, override="n", as_json=True))["a"] == ("distilled", '{"by": "n"}')
+    assert told(distill.distill(ready, lambda: lambda m, p: "no json", "m", None, as_json=True))["a"][0] == "error"
+
+
+def test_lookup_by_title_after_identifiers(spark):
+    from biblake.sources import records
+
+    papers = spark.createDataFrame([("a", "10.1/x", None, "Sparse grids", 2001), ("b", None, None, "A parallel turbine for spectra", 2017), ("c", None, None, "Nothing like it", 2017)], "paper_id string, doi string, arxiv_id string, title string, year int")
+    snapshot = spark.createDataFrame([("10.1/x", None, "Other", 1990), (None, None, "A prallel turbine for spectra", 2017)], "doi string, arxiv_id string, title string, year int")
+    out = {r.paper_id: (r.kind, r.rec and r.rec.title) for r in records.cascade(papers, snapshot, titles=True).collect()}
+    assert out == {"a": ("doi", "Other"), "b": ("title", "A prallel turbine for spectra"), "c": (None, None)}
+    assert {r.paper_id: r.kind for r in records.lookup_bibtex(papers, snapshot).collect()} == {"a": "doi", "b": "title", "c": None}
+
+
+def test_resolve_keeps_edits_and_sees_all_conflicts(spark):
+    from biblake.operators import conflicts, merge
+
+    source = lambda title, venue: spark.createDataFrame([("p", "k", 1.0, title, ["Ann Bee"], 2001, venue), ("h", "k", 1.0, title, ["Ann Bee"], 2001, venue)], "paper_id string, lookup_key string, sim double, title string, authors array<string>, year int, venue string")
+    sources = {"openalex": source("Sparse grids in use", "Journal of Grids"), "crossref": source("Sparse grids in use", "Annals of Cooking")}
+    claims = merge.claims_of_sources(sources)
+    raw = "paper_id string, source string, sim double, seq int, title string, authors array<string>, doi string, year int, venue string, raw_type string"
+    rows = [(p, s, 1.0, i, "Sparse grids in use", ["Ann Bee"], None, 2001, v, t) for p in "ph" for i, (s, v, t) in enumerate((("openalex", "Journal of Grids", "article"), ("crossref", "Annals of Cooking", "book-chapter")))]
+    records = spark.createDataFrame(rows, raw)
+    old = spark.createDataFrame([("h", "category", "thesis", "human"), ("h", "notes", "read me", "tool:x")], "paper_id string, field string, value string, source string")
+    out = {r.paper_id: r for r in resolve.resolve(claims, conflicts.credible(records), old).collect()}
+    assert out["p"].category == "book chapter" and out["h"].category == "thesis" and out["h"].notes == "read me"
+    assert out["p"].review_reasons == ["sources disagreed: venue"] and out["p"].needs_review
+    merged = spark.createDataFrame([("p", "Sparse grids in use", ["Ann Bee"], 2001)], "paper_id string, title string, authors array<string>, year int")
+    assert [r.sufficient for r in conflicts.tier1_sufficient(records, merged).collect()] == [False]
+    assert [r.sufficient for r in conflicts.tier1_sufficient(records.withColumn("venue", F.lit("Same")), merged).collect()] == [True]
+    twice = spark.createDataFrame([("p", "title", v, "human", None, None, i) for i, v in enumerate(("first", "second"))], "paper_id string, field string, value string, source string, lookup_key string, sim double, seq int")
+    assert [r.value for r in merge.merge_claims(twice).collect()] == ["first"]
