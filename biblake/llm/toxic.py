@@ -4,7 +4,7 @@ Method: a classifier chain. One linear model per category, in a fixed order; eac
 word classes of a passage (``abuse_words``), which classes meet in it, and the probabilities of the categories before it.
 In training those probabilities come from models that haven't seen the passage (out-of-fold), so that a later model
 doesn't trust an earlier one more than it may.
-Nobody labelled the corpus. The models learn from sentences made of the patterns in ``abuse_grammar``, innocent ones
+Nobody labelled the corpus for this. The models learn from sentences made of the patterns in ``abuse_grammar``, innocent ones
 among them (reports, quotations, technical and medical uses, harsh criticism), and then from passages of a bounded sample
 of the corpus that have no suspicious word or on which the first models are sure (self-training); what was learned from the corpus is kept only if
 it is no worse on held-out patterns.
