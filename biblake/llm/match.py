@@ -5,9 +5,10 @@ surnames, numbers of parts, the year. Rare terms that are one slip away from a f
 ranked for each record by BM25; a paper is retrieved if the terms in common carry at least ``COVER`` of the weight of
 the record. That bound prunes exactly: of a record's terms, from the rarest on, so many are opened that what is left can't
 reach it, so a paper that shares none of these needn't be looked at. Short lists are opened alone; of long ones two,
-three or four are opened together, since a paper must share as many of the opened terms as the bound demands. What is
-found by the opened lists, and a signature of each paper's terms, bound its score from below and above, and only papers that can still be among
-the best ``TOP`` are scored in full.
+three or four are opened together, since a paper must share as many of the opened terms as the bound demands; a long
+list whose terms alone reach the bound is opened as it is. What is found by the opened lists, and a signature of each
+paper's terms, bound its score from below and above, and only papers that can still be retrieved are scored in full.
+They are ranked after checks of numbers, titles and authors, so that what fails these takes no place among the best.
 
 A record goes to its best paper if the record is also near the paper's best one; the confidence is a logistic function
 of the share in common and of its gap to the second best paper. It is calibrated on the venues, which retrieval doesn't see.
@@ -33,10 +34,12 @@ from .names import PARTICLES, parse
 #: A term weighs at most as much as one in a row of ``HOT``; BM25's saturation and length parameters, and the range of lengths
 #: (in mean lengths) that counts.
 HOT, K1, B, LENGTHS = 1000, 1.2, 0.3, (0.25, 2.0)
-#: Share of a record's weight that a paper must have in common; papers kept per record.
+#: Share of a record's weight that a paper must have in common; papers kept per record (a match is told by the first two, the
+#: others only teach the calibration).
 COVER, TOP = 0.55, 5
-#: Lists of at most so many papers are opened alone; lists of several terms with more are opened with one more term.
-SHORT, LONG, DEEPEST = 30, 100, 4
+#: Lists of at most so many papers are opened alone; lists of several terms with more are opened with one more term, or
+#: as they are where they must be. What such a list finds for a record is pruned in so many parts.
+SHORT, LONG, DEEPEST, PARTS = 30, 100, 4, 64
 #: Lists are counted in so many buckets (a fixed size); a full bucket only means that a term more is looked at.
 BUCKETS = 1 << 22
 #: How many times as frequent the term is that a rare one may be a slip of.
@@ -171,9 +174,12 @@ def without_authors(rows: DataFrame) -> DataFrame:
 class Opener:
     """Which lists are opened for a record, and in which lists a paper stands; lists are of one term or of several."""
 
-    def __init__(self, full: list[np.ndarray]):
-        #: by number of terms from two on: buckets whose lists are too long
-        self.full = full
+    def __init__(self, full: list[np.ndarray], whole: np.ndarray | None = None):
+        #: by number of terms from two on: buckets whose lists are too long; buckets of long lists that are opened nevertheless
+        self.full, self.whole = full, whole
+
+    def wanted(self, key: int) -> bool:
+        return self.whole is not None and bool(self.whole[key & (BUCKETS - 1)])
 
     def long(self, key: int, terms: int) -> bool:
         return terms < DEEPEST and terms - 2 < len(self.full) and bool(self.full[terms - 2][key & (BUCKETS - 1)])
@@ -189,11 +195,12 @@ class Opener:
         """Keys of the lists that a paper with terms (df, h) stands in."""
         out = [self.key((h,), variant) for df, h in terms if df <= SHORT]
         many = sorted(h for df, h in terms if df > SHORT)
+        out += [k for k in (self.key((h,), variant) for h in many) if self.wanted(k)]
         sets = set(combinations(many, 2))
         for n in range(2, DEEPEST + 1):
             keys = {s: self.key(s, variant) for s in sets}
             sets = {s for s, k in keys.items() if self.long(k, n)}
-            out += [k for s, k in keys.items() if s not in sets]
+            out += [k for s, k in keys.items() if s not in sets or self.wanted(k)]
             if not sets:
                 break
             sets = self.grown(sets, many)
@@ -219,28 +226,34 @@ class Opener:
             k += 1
         return k
 
-    def record(self, terms: list[tuple[int, int, float]], variant: int, least: float) -> tuple[list[tuple[int, int]], int, int, int]:
-        """Lists opened for a record with terms (df, h, w): (key, its terms as bits), and bits of: short lists opened, long ones opened first, long ones then told."""
+    def record(self, terms: list[tuple[int, int, float]], variant: int, least: float) -> tuple[list[tuple[int, int]], list[int], int, int, int]:
+        """Lists opened for a record with terms (df, h, w): (key, its terms as bits), the keys of long ones, and bits of: lists of one term opened, long ones opened first, long ones then told."""
         place = {h: i for i, (_, h, _) in enumerate(terms)}
+        weights = {h: w for _, h, w in terms}
         bits = lambda hs: sum(1 << place[h] for h in hs if place[h] < 62)
+        # a paper may have these terms and no other in common
+        heavy = lambda hs: sum(weights[h] for h in hs) >= least
         if sum(w for df, _, w in terms if df) < least:
-            return [], 0, 0, 0
+            return [], [], 0, 0, 0
         first = terms[: self.opened(terms, least, 1)]
-        alone = [h for df, h, _ in first if 0 < df <= SHORT]
-        start = [h for df, h, _ in first if df > SHORT]
+        alone = [h for df, h, _ in first if df and (df <= SHORT or heavy([h]))]
+        start = [h for df, h, _ in first if df > SHORT and not heavy([h])]
+        whole = [self.key((h,), variant) for df, h, _ in first if df > SHORT and heavy([h])]
         out = [(self.key((h,), variant), bits([h])) for h in alone]
-        wide = [[h for df, h, _ in terms[: self.opened(terms, least, n)] if df > SHORT] for n in range(2, DEEPEST + 1)]
+        wide = [[h for df, h, _ in terms[: self.opened(terms, least, n)] if df > SHORT and h not in alone] for n in range(2, DEEPEST + 1)]
         sets = {tuple(sorted((t, u))) for t in start for u in wide[0] if t != u}
         told = bits(wide[0])
         for n in range(2, DEEPEST + 1):
             keys = {s: self.key(s, variant) for s in sets}
-            sets = {s for s, k in keys.items() if self.long(k, n)}
+            long = {s for s, k in keys.items() if self.long(k, n)}
+            sets = {s for s in long if not heavy(s)}
             out += [(k, bits(s)) for s, k in keys.items() if s not in sets]
+            whole += [keys[s] for s in long - sets]
             if not sets:
                 break
             told = 0
             sets = self.grown(sets, wide[n - 1])
-        return out, bits(alone), bits(start), told
+        return out, whole, bits(alone), bits(start), told
 
 
 def sign_of(h: int) -> int:
@@ -272,8 +285,8 @@ def full_buckets(papers: DataFrame) -> list[np.ndarray]:
     return full
 
 
-def candidates(papers: DataFrame, records: DataFrame, cover: float = COVER, top: int = TOP) -> DataFrame:
-    """``r_at, p_at``: for each record the papers that may be among its best ``top`` of those with at least ``cover`` of its weight in common.
+def candidates(papers: DataFrame, records: DataFrame, cover: float = COVER, top: int | None = TOP) -> DataFrame:
+    """``r_at, p_at``: for each record the papers that may be among its best ``top`` (None: all) of those with at least ``cover`` of its weight in common.
 
     Papers without authors are held against what records say besides, in lists of their own (variant 1).
     """
@@ -286,6 +299,7 @@ def candidates(papers: DataFrame, records: DataFrame, cover: float = COVER, top:
 
     def stands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = opener()
+        o.whole = np.unpackbits(asked_whole.value).astype(bool)
         for batch in batches:
             at, keys, signs = [], [], []
             for i, (terms, v) in enumerate(zip(tuples(batch.column(1), "df", "h"), batch.column(2).to_pylist())):
@@ -302,20 +316,24 @@ def candidates(papers: DataFrame, records: DataFrame, cover: float = COVER, top:
     def opens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = opener()
         for batch in batches:
-            keys, masks, rest, weights, signs, bars = [], [], [], [], [], []
+            keys, masks, wholes, rest, weights, signs, bars = [], [], [], [], [], [], []
             for terms, total, v in zip(tuples(batch.column(1), "df", "h", "w"), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                mine, *told = o.record(terms, v, cover * total)
-                keys.append([k for k, _ in mine]), masks.append([m for _, m in mine]), rest.append(told)
+                mine, whole, *told = o.record(terms, v, cover * total - 1e-9)
+                keys.append([k for k, _ in mine]), masks.append([m for _, m in mine]), wholes.append(whole), rest.append(told)
                 signs.append([sign_of(h) for _, h, _ in terms])
                 weights.append([w if df else 0.0 for df, _, w in terms]), bars.append(cover * total)
-            arrays = [batch.column(0), batch.column(3), pa.array(keys, lists), pa.array(masks, lists), *(pa.array([t[k] for t in rest], pa.int64()) for k in range(3)), pa.array(weights, pa.list_(pa.float64())), pa.array(signs, lists), pa.array(bars, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["r_at", "variant", "keys", "masks", "alone", "start", "told", "weights", "signs", "bar"])
+            arrays = [batch.column(0), batch.column(3), pa.array(keys, lists), pa.array(masks, lists), pa.array(wholes, lists), *(pa.array([t[k] for t in rest], pa.int64()) for k in range(3)), pa.array(weights, pa.list_(pa.float64())), pa.array(signs, lists), pa.array(bars, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["r_at", "variant", "keys", "masks", "whole", "alone", "start", "told", "weights", "signs", "bar"])
 
-    schema = "r_at bigint, variant int, keys array<bigint>, masks array<bigint>, alone bigint, start bigint, told bigint, weights array<double>, signs array<bigint>, bar double"
+    schema = "r_at bigint, variant int, keys array<bigint>, masks array<bigint>, whole array<bigint>, alone bigint, start bigint, told bigint, weights array<double>, signs array<bigint>, bar double"
     opened = materialize(records.mapInArrow(opens, schema).where("size(keys) > 0"))
+    flags = np.zeros(BUCKETS, bool)  # as in full_buckets
+    flags[opened.select(F.explode("whole").alias("key")).select(F.col("key").bitwiseAND(BUCKETS - 1).alias("bucket")).distinct().toArrow().column(0).to_numpy()] = True
+    asked_whole = papers.sparkSession.sparkContext.broadcast(np.packbits(flags))
     in_lists = papers.mapInArrow(stands, "p_at bigint, key bigint, sign bigint")
-    asked = opened.select("r_at", "variant", F.explode(F.arrays_zip("keys", "masks")).alias("k")).select("r_at", "variant", F.col("k.keys").alias("key"), F.col("k.masks").alias("mask"))
-    met = wide(asked.join(in_lists, "key").select("r_at", "variant", "p_at", "mask", "sign"), "r_at", "variant").groupBy("r_at", "variant").agg(F.collect_list(F.struct("p_at", "mask", "sign")).alias("met"))
+    asked = opened.select("r_at", "variant", F.expr("size(whole) > 0").alias("much"), F.explode(F.arrays_zip("keys", "masks")).alias("k")).select("r_at", "variant", "much", F.col("k.keys").alias("key"), F.col("k.masks").alias("mask"))
+    part = F.expr(f"if(much, pmod(p_at, {PARTS}), 0)").alias("part")
+    met = wide(asked.join(in_lists, "key").select("r_at", "variant", part, "p_at", "mask", "sign"), "r_at", "variant").groupBy("r_at", "variant", "part").agg(F.collect_list(F.struct("p_at", "mask", "sign")).alias("met"))
     rows = opened.select("r_at", "variant", "alone", "start", "told", "weights", "signs", "bar").join(met, ["r_at", "variant"])
     lightest, heaviest = ((K1 + 1) / (1 + K1 * (1 - B + B * x)) for x in reversed(LENGTHS))
 
@@ -353,12 +371,13 @@ def candidates(papers: DataFrame, records: DataFrame, cover: float = COVER, top:
                 gone = ~mask[c] & (alone[o] | np.where(mask[c] & start[o], told[o], 0))
                 lacks = (gone[:, None] >> np.arange(width) & 1).astype(bool) | (sign[c, None] & signs[o] == 0)
                 most[c] = seen[o] - (lacks * weights[o]).sum(1)
-            best = np.lexsort((-held, owner))
-            counts = np.bincount(owner, minlength=batch.num_rows)
-            last = np.cumsum(counts) - counts + top - 1
-            enough = counts >= top
             bars = bar.copy()
-            bars[enough] = np.maximum(bars[enough], held[best[last[enough]]] * lightest / heaviest)
+            if top is not None:
+                best = np.lexsort((-held, owner))
+                counts = np.bincount(owner, minlength=batch.num_rows)
+                last = np.cumsum(counts) - counts + top - 1
+                enough = counts >= top
+                bars[enough] = np.maximum(bars[enough], held[best[last[enough]]] * lightest / heaviest)
             keep = most >= bars[owner] - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), pa.array(p[keep])], names=["r_at", "p_at"])
 
@@ -409,15 +428,19 @@ def scored(pairs: DataFrame, papers: DataFrame, records: DataFrame, mean: float,
     return columns.mapInArrow(run, "p string, r string, p_venue string, r_venue string, score double, share double, title double, author double, numbers boolean")
 
 
-def retrieve(bib: DataFrame, records: DataFrame, cover: float = COVER, top: int = TOP) -> DataFrame:
-    """Each record's best ``top`` papers of those with at least ``cover`` of its weight in common (without authors, of its other weight): ``p, r, p_venue, r_venue, rank`` and their scores."""
+def retrieve(bib: DataFrame, records: DataFrame, cover: float = COVER, top: int = TOP, where: str | None = None) -> DataFrame:
+    """Each record's best ``top`` papers of those with at least ``cover`` of its weight in common (without authors, of its other weight): ``p, r, p_venue, r_venue, rank`` and their scores.
+
+    With ``where``, a condition on the scores, the best of those that it holds for, however many are better otherwise.
+    """
     papers, found = prepared(bib, "paper_id", "ingested_at"), prepared(records, "record_id", "fetched_at")
     total = papers.count()
     words = vocabulary(papers, found, total)
     papers, found = indexed(papers, words), indexed(found, words)
     mean = papers.agg(F.coalesce(F.avg(F.size("terms")), F.lit(1.0))).first()[0]
     by_record = Window.partitionBy("r").orderBy(F.desc("score"), F.desc("share"), "p")
-    return scored(candidates(papers, found, cover, top).dropDuplicates(), papers, found, mean, cover).withColumn("rank", F.row_number().over(by_record)).where(f"rank <= {top}")
+    held = scored(candidates(papers, found, cover, None if where else top).dropDuplicates(), papers, found, mean, cover)
+    return (held.where(where) if where else held).withColumn("rank", F.row_number().over(by_record)).where(f"rank <= {top}")
 
 
 #: Weights of constant, share and gap that calibration starts from, and how firmly it holds to them.
@@ -451,13 +474,12 @@ def match(bib: DataFrame, records: DataFrame, least: float = 0.5, near: float =
     many records, each with at least ``near`` of the share of the paper's best one. Rows without a term match nothing and
     give no rows; null authors or years count as unknown, neither for nor against; ties in the score go to the smaller
     ``paper_id``. Equal numbers in titles are demanded: parts and years of a series are different works; so is an author
-    in common where both list any, and where one doesn't, a title that is one paper's alone. A record that has nothing in
-    common with a paper but one term of more than ``SHORT`` papers, or two or three terms that more than ``LONG`` papers
-    have together, tells that paper from no other and may find none. Empty tables give no rows; other columns are ignored.
+    in common where both list any, and where one doesn't, a title that is one paper's alone. Empty tables give no rows;
+    other columns are ignored.
     """
     # other parts and years of a series are other works, and so are works of nobody in common: they stand behind no one
     same = "numbers and title >= 0.6 and (author > 0.2 or author < 0)"
-    top = materialize(retrieve(bib, records).where(same).drop("numbers"))
+    top = materialize(retrieve(bib, records, where=same).drop("numbers"))
     by_record = Window.partitionBy("r").orderBy("rank")
     ranked = top.withColumn("rank", F.row_number().over(by_record)).withColumn("second", F.coalesce(F.lead("share").over(by_record), F.lit(0.0)))
     agree = (F.col("p_venue") == F.col("r_venue")).cast("double")

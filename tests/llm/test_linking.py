@@ -177,6 +177,30 @@ def test_retrieval_against_brute_force(spark, monkeypatch):
         assert same == len(brute) if long == 1000 else same >= 0.95 * len(brute), (short, long, same)
 
 
+def test_retrieval_where_all_in_common_is_frequent(spark, monkeypatch):
+    """No record is lost whose only terms in common with a paper stand in long lists, of one term or of several."""
+    rng = random.Random(9)
+    rows = [(f"p{i:03d}", " ".join(rng.sample(["editorial", "report", "annual", "foreword", "notes"], rng.choice([1, 2, 3]))), [["Ada Kimov"], ["Ben Lostra"], None][i % 3], rng.choice([2000, 2001, None]), None, 1) for i in range(90)]
+    asked = [(i, r[1], r[2] if i % 2 else None, rng.choice([2000, 1990, None]), None, 1) for i, r in enumerate(rows[:60])]
+    bib = spark.createDataFrame(rows, "paper_id string, title string, authors array<string>, year int, publication_date string, ingested_at int")
+    rec = spark.createDataFrame(asked, "record_id bigint, title string, authors array<string>, year int, publication_date string, fetched_at int")
+    brute = pairs_by_force(bib, rec, 0.5, 3)
+    monkeypatch.setattr(match, "SHORT", 2), monkeypatch.setattr(match, "LONG", 3)
+    got = {}
+    for r in match.retrieve(bib, rec, 0.5, 3).orderBy("r", "rank").collect():
+        got.setdefault(r.r, []).append((-round(r.score, 9), r.p))
+    assert {k: [s for s, _ in v] for k, v in got.items()} == {k: [s for s, _ in v] for k, v in brute.items() if v}
+
+
+def test_matches_behind_many_others(spark):
+    """A title of one frequent word is found, and papers that fail the checks take no place from the one that passes."""
+    rows = [(f"n{i:02d}", f"Proceedings {i + 1}", None, None, None, 1) for i in range(40)] + [(f"s{i:02d}", f"Sparse Canopy Tensors {i + 1}", ["Olga Begontes"], 2001, None, 1) for i in range(8)]
+    rows += [("right", "Proceedings", ["Olga Begontes", "Pavel Grymm"], 1987, None, 1), ("longer", "Sparse Canopy Tensors", ["Olga Begontes", "Ivana Skolt", "Pavel Grymm", "Hana Tirkovel", "Marek Brulost"], 1999, None, 1)]
+    bib = spark.createDataFrame(rows, "paper_id string, title string, authors array<string>, year int, publication_date string, ingested_at int")
+    rec = spark.createDataFrame([(1, "Proceedings", None, None, None, 1), (2, "Sparse Canopy Tensors", ["O. Begontes"], 2001, None, 1)], "record_id bigint, title string, authors array<string>, year int, publication_date string, fetched_at int")
+    assert {(r.paper_id, r.record_id) for r in match.match(bib, rec).collect()} == {("right", 1), ("longer", 2)}
+
+
 def test_matching_titles_with_slips(spark):
     # slips are told by the right words' being much more frequent
     others = [(f"o{n}{i}", f"{s[0]} {n}", [f"Else{n} Someone{n}", *s[1]], 1999 + n, None, 1) for i, s in enumerate(SLIPS) for n in range(12)]
