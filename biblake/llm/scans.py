@@ -31,8 +31,10 @@ RATIO = 8
 DIMENSIONS, REACH = 24, 2
 #: A link is refused where the word fits its context so much worse (in nats a context word) than words do on average.
 MISFIT = 1.0
-#: Margins of a page where the corpus has no labelled furniture to learn them from, and pages that a header recurs within.
-TOP, BOTTOM, NEAR = 60.0, 780.0, 16
+#: Margins of a page where the corpus has no labelled furniture to learn them from.
+TOP, BOTTOM = 60.0, 780.0
+#: Lines are alike if they have at most so many slips and so many letters in a row in common.
+SLIPS, RUN = 3, 5
 #: Block types that are running text or furniture; others are read too but are no paragraphs.
 FLOW = ("text", "header", "page_number")
 _LINES = re.compile(r"\r\n|\r|\n| | |\x0b|\x0c|\x85")
@@ -51,9 +53,14 @@ GOES_ON = "lower or (coalesce(before.open, false) and not coalesce(rlike(head, '
 _OPEN_END = re.compile(r"[^.!?:…\"”’)\]]$")
 
 
-def line_key(line: str) -> str:
+def letters_of(line: str) -> str:
     """Letters of a line, folded: what a running header shares on all pages, however its numbers and case change."""
-    return re.sub(r"[^a-z]", "", fold(line))[:24]
+    return re.sub(r"[^a-z]", "", fold(line))
+
+
+def line_key(line: str) -> str:
+    """The first letters of a line: a title is often cut where it is a running header."""
+    return letters_of(line)[:24]
 
 
 def number_of(text: str) -> int | None:
@@ -98,7 +105,7 @@ def margins(base: DataFrame) -> tuple[float, float]:
 
 
 def _candidates(base: DataFrame, top: float, bottom: float) -> DataFrame:
-    """Lines that may be furniture: ``paper_id, ord, place, i, key, off, page``; off: the line's page number less the page; place: margin, unknown, body, title."""
+    """Lines that may be furniture: ``paper_id, ord, place, i, key, off, size``; off: the line's page number less the page; size: number of letters; place: margin, unknown, body, title."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +115,7 @@ def _candidates(base: DataFrame, top: float, bottom: float) -> DataFrame:
                 margin = kind in ("header", "page_number") or (y is not None and not top <= y <= bottom)
                 place = "margin" if margin else "unknown" if y is None else "body"
                 if ord_ == 0 and not margin:
-                    out.append((paper, ord_, "title", 0, line_key(text), None, 0))
+                    out.append((paper, ord_, "title", 0, line_key(text), None, len(letters_of(text))))
                     continue
                 if place == "unknown" and len(lines) > 1:
                     place = "body"
@@ -116,27 +123,31 @@ def _candidates(base: DataFrame, top: float, bottom: float) -> DataFrame:
                     continue
                 for i, line in enumerate(lines):
                     running, n = parts_of(line)
-                    key = line_key(running)
+                    letters = letters_of(running)
+                    key = letters[:24]
                     if len(key) >= 5 or n is not None:
-                        out.append((paper, ord_, place, i, key if len(key) >= 5 else None, n - page if n is not None and page is not None else None, page or 0))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=["paper_id", "ord", "place", "i", "key", "off", "page"])
+                        out.append((paper, ord_, place, i, key if len(key) >= 5 else None, n - page if n is not None and page is not None else None, len(letters)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=["paper_id", "ord", "place", "i", "key", "off", "size"])
 
-    return base.select("paper_id", "ord", "type", "text", "page_idx", "y").mapInArrow(run, "paper_id string, ord int, place string, i int, key string, off int, page int")
+    return base.select("paper_id", "ord", "type", "text", "page_idx", "y").mapInArrow(run, "paper_id string, ord int, place string, i int, key string, off int, size int")
 
 
 def furniture(base: DataFrame, top: float = TOP, bottom: float = BOTTOM) -> DataFrame:
     """``paper_id, ord, headers, numbers``: line numbers of running headers and of page numbers in blocks whose place on the page doesn't tell."""
     lines = materialize(_candidates(base, top, bottom))
-    pieces = lambda starts: F.array_distinct(F.filter(F.array(*(F.substring("key", i + 1, 8) for i in starts)), lambda x: F.length(x) > 4))
-    # a running header recurs on pages nearby (NEAR to 2 * NEAR), a title on the paper's first pages: however long a
-    # volume is, a line meets few others
-    near = F.expr(f"page div {NEAR}")
-    around = F.when(F.col("place") == "title", F.sequence(F.lit(0), F.lit(8))).otherwise(F.sequence(near - 1, near + 1))
-    known = lines.where("place in ('margin', 'title') and key is not null").select("paper_id", "key", F.explode(around).alias("near")).dropDuplicates()
-    known = known.select("paper_id", "near", F.col("key").alias("known"), F.explode(pieces((0, 1, 7, 8, 9, 15, 16, 17))).alias("piece"))
-    asked = lines.where("place in ('unknown', 'body') and key is not null").select("paper_id", near.alias("near"), "ord", "i", "key", F.explode(pieces((0, 8, 16))).alias("piece"))
-    # a header with slips still shares a piece, if shifted by one letter; the whole must be alike
-    heads = asked.join(known, ["paper_id", "near", "piece"]).where(F.levenshtein("key", "known", 3) >= 0).select("paper_id", "ord", "i", F.lit(None).cast("int").alias("n")).dropDuplicates()
+    # each of a paper's lines is held against all headers of the paper and its title, wherever they stand; lines of the same
+    # letters once. Headers are cut into all runs of RUN letters. So is a line, unless it is long: SLIPS slips leave one of
+    # SLIPS + 1 runs that don't overlap. A line that goes on where the header ends is none
+    runs = lambda starts: F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("key"), i, F.lit(RUN))))).alias("run")
+    every = F.sequence(F.lit(1), F.length("key") - (RUN - 1))
+    apart = F.array(*(F.lit(1 + RUN * k) for k in range(SLIPS + 1)))
+    whole = F.length("key") >= RUN
+    known = lines.where("place in ('margin', 'title')").where(whole).groupBy("paper_id", "key").agg(F.max("size").alias("size"))
+    asked = lines.where("place in ('unknown', 'body')").where(whole).select("paper_id", "ord", "i", "key", "size")
+    cut = asked.select("paper_id", "key").distinct().select("paper_id", "key", runs(F.when(F.length("key") >= RUN * (SLIPS + 1), apart).otherwise(every)))
+    met = cut.join(known.select("paper_id", F.col("key").alias("known"), F.col("size").alias("longest"), runs(every)), ["paper_id", "run"])
+    alike = met.where(F.levenshtein("key", "known", SLIPS) >= 0).groupBy("paper_id", "key").agg(F.max("longest").alias("longest"))
+    heads = asked.join(alike, ["paper_id", "key"]).where(f"size <= longest + {SLIPS}").select("paper_id", "ord", "i", F.lit(None).cast("int").alias("n"))
     offsets = lines.where("place = 'margin' and off is not null").groupBy("paper_id", "off").agg(F.count("*").alias("c"))
     usual = offsets.groupBy("paper_id").agg(F.max_by("off", F.struct("c", -F.col("off"))).alias("off"))
     numbers = lines.where("place in ('unknown', 'body') and off is not null").join(usual, ["paper_id", "off"]).select("paper_id", "ord", F.lit(None).cast("int").alias("i"), F.col("i").alias("n"))

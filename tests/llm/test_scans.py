@@ -61,6 +61,42 @@ def test_chunks_hand_over(spark, monkeypatch):
     assert before == {o: o - 1 if o > 1 else None for o in range(1, 30)}
 
 
+def test_headers_are_told_wherever_they_stand(spark):
+    """However far the page is, and wherever the slips are; other lines are left."""
+    rows = [("v", 0, "text", "Coastal Sensors of the Island", 1, 0, 90, 1), ("v", 1, "header", "Magnetic Currents and Glaciers", None, 1, 30, 1)]
+    lines = {10: "Magnetic Currents and Glaciers", 11: "Maqnetic Curients amd Glaciers", 12: "Coastal Sensors of the Island", 13: "Turbulent sediments were measured", 14: "Magnetic currents and glaciers. Neither the solver nor"}
+    rows += [("v", o, "text", x, None, 100 + 50 * o, None, 1) for o, x in lines.items()]
+    found = scans.furniture(scans.latest_blocks(blocks(spark, rows))).collect()
+    assert {(r.ord, *r.headers) for r in found} == {(10, 0), (11, 0), (12, 0)}
+
+
+def test_likeness_against_brute_force(spark):
+    rng, slips = random.Random(8), "abcdefgh"
+
+    def slip(key):
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(key))
+            key = rng.choice((key[:k] + key[k + 1 :], key[:k] + rng.choice(slips) + key[k:], key[:k] + rng.choice(slips) + key[k + 1 :]))
+        return key
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def alike(a, b):
+        return distance(a, b) <= scans.SLIPS and any(a[i : i + scans.RUN] in b for i in range(len(a) - scans.RUN + 1))
+
+    heads = ["".join(rng.choice(slips) for _ in range(n)) for n in (9, 12, 16, 19, 20, 22, 24, 40)]
+    asked = {o: slip(rng.choice(heads)) for o in range(100, 300)}
+    rows = [("v", 1 + i, "header", h, None, i, 30, 1) for i, h in enumerate(heads)] + [("v", o, "text", x, None, o, None, 1) for o, x in asked.items()]
+    found = {r.ord for r in scans.furniture(scans.latest_blocks(blocks(spark, rows))).collect() if r.headers}
+    assert found == {o for o, x in asked.items() if any(alike(scans.line_key(x), scans.line_key(h)) and len(x) <= len(h) + scans.SLIPS for h in heads)}
+
+
 def test_strokes_and_numbers():
     for a, b in (("rnodern", "modern"), ("wbole", "whole"), ("imagmg", "imaging"), ("expenment", "experiment"), ("b0th", "both"), ("clesign", "design"), ("reyersible", "reversible")):
         assert scans.skeleton(a) == scans.skeleton(b)
